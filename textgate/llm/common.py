@@ -140,7 +140,7 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int = 5) -> tuple[np.nda
     got[whole] = run[base[whole]]
     for i in short:
         seq = hashes[bounds[i] : bounds[i + 1]]
-        got[out[i]] = mix(np.array([(seq * _SHINGLE[: len(seq)]).sum() + np.uint64(0x5851F42D4C957F2D) * np.uint64(len(seq))], np.uint64))[0]
+        got[out[i]] = mix((seq * _SHINGLE[: len(seq)]).sum(keepdims=True) + np.uint64(0x5851F42D4C957F2D * len(seq) % (1 << 64)))[0]
     return got, out
 
 

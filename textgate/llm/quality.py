@@ -23,6 +23,9 @@ N_WEIGHTS = (1 << WORD_BITS) + (1 << GRAM_BITS) + 1
 #: Rated documents that training takes at most (the first by a hash of the id), of at most so many characters each.
 TRAIN_DOCS, TRAIN_CHARS = 5000, 20_000
 GRAM_SCALE, REPEAT_SCALE = 8.0, 4.0
+#: A feature counts in training if so many texts have it.
+LEAST_TEXTS = 8
+WORD_POWER = 0.25
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -30,7 +33,7 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     starts, hashes, bounds = words(raw, offsets)
     n_words = np.diff(bounds)
     word_of = np.repeat(np.arange(len(n_words)), n_words)
-    root = 1 / np.sqrt(np.maximum(n_words, 1))
+    root = np.maximum(n_words, 1) ** -WORD_POWER
     size = np.diff(offsets)
     code = raw.astype(np.uint64)
     gram = code[:-2] << np.uint64(16) | code[1:-1] << np.uint64(8) | code[2:] if len(raw) > 2 else np.zeros(0, np.uint64)
@@ -68,7 +71,7 @@ class OrdinalModel:
         starts, hashes, bounds = words(raw, offsets)
         n_words, size = np.diff(bounds), np.diff(offsets)
         own = self.weights[(hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)].astype(np.float64)
-        out = sums(own, bounds) / np.sqrt(np.maximum(n_words, 1))
+        out = sums(own, bounds) * np.maximum(n_words, 1) ** -WORD_POWER
         if len(raw) > 2:
             code = raw.astype(np.uint64)
             gram = (code[:-2] << np.uint64(16) | code[1:-1] << np.uint64(8) | code[2:]) * np.uint64(0x9E3779B97F4A7C15)
@@ -94,6 +97,8 @@ def train(texts: list[str], grades: list[int], epochs: int = 12, rate: float = 0
     column = pa.array(texts, pa.string())
     at, value, bounds = features(*text_buffer(column))
     y = np.array(grades, np.int64)
+    spread = np.bincount(np.unique(at + N_WEIGHTS * np.repeat(np.arange(len(y)), np.diff(bounds))) % N_WEIGHTS, minlength=N_WEIGHTS)
+    value = np.where(spread[at] >= LEAST_TEXTS, value, 0).astype(np.float32)  # what few texts have would be learnt by heart
     w, squares = np.zeros(N_WEIGHTS), np.full(N_WEIGHTS, 1e-3)
     first, gaps, t_squares = -1.0, np.zeros(top - 1), np.full(top, 1e-3)
     rng = np.random.default_rng(seed)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, langid, media, mixing, packing, quality, sharding
+from . import bpe, fingerprint, langid, media, mixing, ngram_join, packing, quality, sharding, suffixes
 from .common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,10 +36,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.summaries(packing.pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER)))
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.spans_of(suffixes.repeats(documents(spark, sf_dir)))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_copies(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(documents(spark, sf_dir))
 
@@ -49,7 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_language, op3_fingerprint, op4_bpe, op5_packing, op7_sharding, op9_media, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality, op2_language, op3_fingerprint, op4_bpe, op5_packing, op6_suffixes, op7_sharding, op8_ngram_join, op9_media, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
