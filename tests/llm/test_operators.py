@@ -1,0 +1,331 @@
+"""Small tables with nulls, empty and very long texts, ties, repeated rows, clashing columns; brute force beside operators."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+pytest.importorskip("textgate.llm")
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from textgate.llm import bpe, fingerprint, langid, media, mixing, ngram_join, packing, quality, sharding, suffixes
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+rng = np.random.default_rng(5)
+VOCAB = ["ab" + "".join(rng.choice(list("cdefg"), 4)) for _ in range(400)]
+
+
+def prose(n, seed):
+    r = np.random.default_rng(seed)
+    return " ".join(r.choice(VOCAB, n))
+
+
+PASSAGE = prose(60, 99)
+LONG = prose(20_000, 7)
+BASE = prose(120, 1)
+TEXTS = [
+    BASE, BASE, BASE.replace(BASE.split()[60], "other", 1), prose(100, 2) + " " + PASSAGE + " " + prose(50, 3), PASSAGE + "\n" + prose(80, 4), None, "", "  \n ", "one two", "One  TWO", "a b c d e", LONG, "héé 漢字 <|endoftext|> x\x00y \t\r\n  z",
+]
+ROWS = [(i, t, "en" if i % 2 else "de", None if i == 3 else "s" + str(i % 3), len(t or "")) for i, t in enumerate(TEXTS)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    extra = "key int, ids string, slot int, n int, size int"
+    rows = [(*r, 1, "x", 2, 3, 4) for r in [*ROWS, ROWS[0]]]  # a repeated row, and columns that clash with inner names
+    return spark.createDataFrame(rows, SCHEMA + ", " + extra)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(t):
+    return [w for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))]
+
+
+def test_bpe(docs, empty):
+    own = Tokenizer.from_file(PATH)
+    got = bpe.encode(docs, PATH).collect()
+    assert len(got) == len(TEXTS) + 1
+    for r in got:
+        ids = own.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids)
+    back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs, PATH), PATH).collect()}
+    assert back == {i: t or "" for i, t in enumerate(TEXTS)}
+    d = {r.doc_id: r for r in bpe.digests(docs, PATH).collect()}
+    assert d[0].decoded_sha256 == hashlib.sha256(BASE.encode()).hexdigest()
+    assert bpe.encode(empty, PATH).isEmpty()
+
+
+def test_bpe_random_strings():
+    own, codec = Tokenizer.from_file(PATH), bpe.Codec(PATH)
+    r = np.random.default_rng(3)
+    letters = list("ab  \n\t\r'sd1٣ é漢😀.,!?ing　\x1c\x00") + ["the", "<|endoftext|>", "'re"]
+    texts = ["".join(r.choice(letters, r.integers(0, 30))) for _ in range(3000)] + ["a" * 5000, " " * 300]
+    for t, b, e in zip(texts, codec.encode_all(texts), own.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(b, "<u4").tolist() == e.ids
+        assert codec.decode(b) == own.decode(e.ids, skip_special_tokens=False)
+
+
+def test_packing(docs, empty):
+    packed = packing.pack(docs, PATH, 256).collect()
+    own, parts = bpe.Codec(PATH), {}
+    for r in packed:
+        ids, places = np.frombuffer(r.input_ids, "<u4"), np.frombuffer(r.position_ids, "<u4")
+        assert len(ids) == 256 and r.cu_seqlens[-1] == r.n_tokens and (ids[r.n_tokens :] == packing.PAD).all()
+        for d, k, a, b in zip(r.doc_ids, r.part_of, r.cu_seqlens, r.cu_seqlens[1:], strict=True):
+            parts.setdefault((d, k), []).append(ids[a:b])
+            assert places[a:b].tolist() == list(range(b - a))
+    for i, t in enumerate(TEXTS):
+        whole = [x for k in sorted(p[1] for p in parts if p[0] == i) for x in parts[i, k][0].tolist()]
+        assert whole == np.frombuffer(own.encode_all([t or ""])[0], "<u4").tolist()
+    assert len(parts[0, 0]) == 2  # the repeated row
+    assert packing.pack(empty, PATH).isEmpty()
+
+
+def test_best_fit_against_brute_force():
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        lengths = r.integers(0, 40, 60).tolist()
+        room, rows = [], []
+        for i in sorted((i for i, n in enumerate(lengths) if n), key=lambda i: (-lengths[i], i)):
+            fits = [k for k, x in enumerate(room) if x >= lengths[i]]
+            if fits:
+                k = min(fits, key=lambda k: room[k])
+            else:
+                k = len(room)
+                room.append(40)
+                rows.append([])
+            room[k] -= lengths[i]
+            rows[k].append(i)
+        got = packing.best_fit_decreasing(lengths, 40)
+        assert sorted(i for x in got for i in x) == sorted(i for x in rows for i in x) and len(got) == len(rows)
+
+
+def test_language(docs, empty):
+    en, de = "the and of that with thing ", "der und ein mit schö über "
+    r = np.random.default_rng(0)
+    texts = [" ".join(r.choice((en if i % 2 else de).split(), 60)) for i in range(400)]
+    net = langid.train(texts[:300], ["en" if i % 2 else "de" for i in range(300)])
+    spark = docs.sparkSession
+    held = spark.createDataFrame([(i, t) for i, t in enumerate(texts[300:])], "doc_id bigint, text string")
+    assert all(x.lang_pred == ("en" if x.doc_id % 2 else "de") for x in langid.identify(held, net).collect())
+    got = {r.doc_id: r for r in langid.identify(docs, net).collect()}
+    assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (5, 6, 7))
+    assert all(0 <= r.score <= 1 for r in got.values()) and langid.identify(docs, net).count() == len(TEXTS) + 1
+    assert langid.identify(docs, langid.fit(empty)).where("lang_pred <> 'und'").isEmpty()
+    assert langid.identify(empty, net).isEmpty()
+    assert {r[0] for r in docs.where(langid.held_out()).select("doc_id").collect()} == {i for i in range(len(TEXTS)) if zlib.crc32(str(i).encode()) % 4 == 2}
+
+
+def test_quality(docs, empty):
+    good, bad = [prose(60, i) for i in range(200)], [prose(30, i) + " | | !! " + "zz " * 20 for i in range(100)]
+    toxic = [prose(50, i) + " nasty vile nasty" for i in range(100)]
+    model = quality.train(good[:150] + bad[:70] + toxic[:70], [2] * 150 + [1] * 70 + [0] * 70)
+    assert (np.diff(model.thresholds) > 0).all()
+    spark = docs.sparkSession
+    held = spark.createDataFrame(list(enumerate(good[150:] + bad[70:] + toxic[70:])), "doc_id bigint, text string")
+    rows = quality.score(held, model).orderBy("doc_id").collect()
+    assert np.mean([r.selected == (i < 50) for i, r in enumerate(rows)]) > 0.85
+    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    assert not got[5].selected and not got[6].selected and got[5].expected_grade == 0.0
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert quality.score(docs, quality.fit(docs, labels)).count() == len(TEXTS) + 1
+    assert quality.score(empty, model).isEmpty()
+
+
+def test_fingerprint(docs, empty):
+    got = fingerprint.with_edits(docs).collect()
+    order = sorted([(i, t or "") for i, t in enumerate(TEXTS)] + [(0, BASE)])
+    want = {}
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1], strict=True):
+        q = len(t) // 4
+        want.setdefault(i, set()).add(hashlib.sha256((t[: len(t) - q] + n[:q]).encode()).hexdigest())
+    assert len(got) == len(order)
+    for r in got:
+        assert r.edited_sha256 in want[r.doc_id] and r.n_chars == len(TEXTS[r.doc_id] or "")
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    by = {r.doc_id: r for r in got}
+    assert by[0].fingerprint == by[1].fingerprint != by[2].fingerprint and by[5].fingerprint == by[6].fingerprint
+    assert by[11].near_edited > 0.6 > by[3].near_next
+    assert fingerprint.with_edits(empty).isEmpty()
+
+
+def test_fingerprint_is_homomorphic(spark):
+    rows = [("a", "one two\nthree four five six seven"), ("b", "three four five six seven\none two"), ("p", "one two"), ("q", "three four five six seven")]
+    f = {r.k: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "k string, text string"), "k").collect()}
+    assert (f["a"].identity, f["a"].lanes) == (f["b"].identity, f["b"].lanes)
+    assert [(x + y) % (1 << 32) for x, y in zip(f["p"].identity, f["q"].identity, strict=True)] == f["a"].identity
+    assert [x + y for x, y in zip(f["p"].lanes, f["q"].lanes, strict=True)] == f["a"].lanes
+
+
+def brute_components(rows):
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append(frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                up[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return {(d, len(s), least[find(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))}
+
+
+def test_near_copies(docs, empty, spark, monkeypatch):
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_copies(docs).collect()}
+    assert got == brute_components([(i, t) for i, t in enumerate(TEXTS)])
+    assert ngram_join.near_copies(empty).isEmpty()
+    kept = sorted(r.doc_id for r in ngram_join.one_of_each(docs).collect())
+    assert kept == [0, 3, 4, 5, 6, 7, 8, 10, 11, 12]
+    r = np.random.default_rng(8)
+    rows = []
+    for g in range(6):  # chains of copies with ever more changes, all with a common passage
+        w = prose(60, 100 + g).split()
+        for _ in range(12):
+            w[int(r.integers(0, 60))] = str(r.choice(VOCAB))
+            rows.append((len(rows), PASSAGE[:200] + " " + " ".join(w)))
+    monkeypatch.setattr(ngram_join, "PART", 5)  # cut blocks and groups as if they were large
+    made = ngram_join.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {(x.doc_id, x.n_shingles, x.component_id) for x in made.collect()} == brute_components(rows)
+
+
+def test_repeats(docs, empty):
+    got = {(r.doc_id, r.start_word, r.n_words, r.first_doc_id, r.first_word) for r in suffixes.repeats(docs).collect()}
+    assert (4, 0, 60, 3, 100) in got and (1, 0, 120, 0, 0) in got
+    assert all(d in (1, 2, 4) for d, *_ in got)
+    left = {r.doc_id: r for r in suffixes.without_repeats(docs).collect()}
+    assert left[3].text == TEXTS[3] and left[4].text == prose(80, 4) and left[4].n_chars == len(left[4].text)
+    assert 1 not in left and left[11].text == LONG and left[9].text == "One  TWO"
+    assert suffixes.repeats(empty).isEmpty()
+
+
+def test_repeats_against_brute_force(spark):
+    r = np.random.default_rng(4)
+    passages = [prose(int(r.integers(30, 90)), 200 + i) for i in range(8)]
+    texts = [" ".join([prose(int(r.integers(5, 60)), 300 + i), passages[int(r.integers(0, 8))], prose(int(r.integers(5, 60)), 600 + i)]) for i in range(60)]
+    first, want = {}, {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for j in range(len(w) - 49):
+            f = first.setdefault(tuple(w[j : j + 50]), i)
+            if f != i:
+                want.setdefault(i, set()).update(range(j, j + 50))
+    got = {}
+    for x in suffixes.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect():
+        got.setdefault(x.doc_id, set()).update(range(x.start_word, x.start_word + x.n_words))
+    assert set(got) == set(want) and all(got[i] <= want[i] and len(want[i] - got[i]) <= 3 for i in want)
+
+
+def test_sharding(docs, empty):
+    rows = sharding.shard(docs, 3, 64).collect()
+    assert len(rows) == len(TEXTS) + 1
+    for r in rows:
+        t = (TEXTS[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(t) + 8, zlib.crc32(t), "bytes", None)
+    for k in {r.shard for r in rows}:
+        places = sorted(r.slot for r in rows if r.shard == k)
+        assert places == list(range(len(places)))
+    assert sharding.shard(empty).isEmpty()
+
+
+def test_slot_map_edits():
+    sizes = {s: int(x) for s, x in enumerate(rng.integers(1, 100, 512))}
+    a = sharding.SlotMap.build(sizes, 8, 512)
+    load = lambda m: [sum(sizes[s] for s in range(512) if m.shard_of[s] == k) for k in range(m.n_shards)]
+    assert max(load(a)) - min(load(a)) <= 100
+    b = a.rebalance(sizes, 9)
+    assert b.version == 2 and max(load(b)) - min(load(b)) <= 100
+    assert all(a.shard_of[s] == b.shard_of[s] for s in range(512) if s not in b.moved) and len(set(b.moved)) < 512 / 6
+    assert set(b.rebalance(sizes, 7).shard_of) == set(range(7))
+
+
+def test_media(docs, empty):
+    got = {r.doc_id: r for r in media.document_media(docs).collect()}
+    assert media.document_media(docs).count() == len(TEXTS) + 1
+    for i, t in enumerate(TEXTS):
+        raw = (t or "").encode()
+        full = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
+        assert r.media_sha256 == hashlib.sha256(media.store(full)).hexdigest() and media.load(media.store(full)) == full
+    assert got[0].feature == got[1].feature and got[0].caption == f"{len(BASE)} bytes of text"
+    assert media.document_media(empty).isEmpty()
+
+
+def test_html_sequences(spark):
+    html = "<p>a <b>b</b></p><figure><img src=x alt=y><figcaption>cap &amp; c</figcaption></figure><script>no</script><img src=z>tail"
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id bigint, html string")
+    rows = media.sequences(media.parse(pages)).collect()
+    assert [(p.kind, p.text, p.ref, p.caption) for p in rows[0].parts] == [("text", "a b", None, None), ("media", None, "x", "cap & c"), ("media", None, "z", None), ("text", "tail", None, None)]
+    assert len(rows) == 1
+
+
+def brute_mix(rows):
+    sized = [(d, s, len(words(t)), hashlib.md5(f"{d}#{t or ''}".encode()).hexdigest()) for d, t, s in rows]
+    sources = sorted({s for _, s, _, _ in sized}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, x, n, _ in sized if x == s) for s in sources}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    left, target, open_ = 1.5 * sum(size.values()), {}, set(sources)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] >= 2 * size[s]}
+        if not full:
+            target |= {s: level * weight[s] for s in open_}
+            break
+        for s in full:
+            target[s] = 2 * size[s]
+            left -= 2 * size[s]
+        open_ -= full
+    return sized, size, target
+
+
+def test_mixing(docs, empty, spark):
+    rows = [(i, prose(int(rng.integers(0, 40)), i), (None, "a", "b", "c")[int(rng.integers(0, 4))]) for i in range(300)]
+    d = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], SCHEMA)
+    sized, size, target = brute_mix(rows)
+    got = mixing.mix(d).collect()
+    assert sorted((r.doc_id, r.size) for r in got) == sorted((i, n) for i, _, n, _ in sized)
+    for r in got:
+        assert r.source_size == size[r.source] and abs(r.target - target[r.source]) < 1e-6 and r.taken == r.times * r.size and 0 <= r.times <= 2
+    for s in size:
+        assert abs(sum(r.taken for r in got if r.source == s) - target[s]) <= 80
+    assert sum(r.taken for r in got) <= 1.5 * sum(size.values())
+    assert mixing.mixed(d).count() == sum(r.times for r in got)
+    again = sorted(tuple(r) for r in mixing.mix(d.repartition(7)).drop("source").collect())
+    assert again == sorted(tuple(r) for r in mixing.mix(d).drop("source").collect())
+    assert mixing.mix(docs).count() == len(TEXTS) + 1
+    assert mixing.mixed(docs).count() == mixing.mix(docs).agg(F.sum("times")).first()[0]
+    assert mixing.mix(empty).isEmpty()
+
+
+def test_pipeline(spark, tmp_path):
+    r = np.random.default_rng(1)
+    rows = [(i, prose(int(r.integers(50, 90)), 1000 + i), "en", f"s{i % 3}", 1) for i in range(60)]
+    rows += [(60, rows[0][1], "en", "s0", 1), (61, None, "en", "s1", 0), (62, "12 34", "en", "s1", 5)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), "stage")
+        if i < 4:
+            assert docs.columns == SCHEMA.replace(" bigint", "").replace(" string", "").split(", ")
+        if i < 3:
+            assert sorted(x.doc_id for x in docs.collect()) == (list(range(61)) if i == 0 else list(range(60)))
+    assert docs.columns == ["doc_id", "ids", "n_tokens"]

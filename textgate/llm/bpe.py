@@ -194,6 +194,8 @@ class Codec:
         out: list[list[int]] = [[]] * len(raw)
         for some in np.array_split(np.argsort([len(b) for b in raw], kind="stable"), len(raw) // 4096 + 1):
             own = [raw[i] for i in some]
+            if not own:
+                continue
             if len(own[-1]) > 40:
                 for i, b in zip(some.tolist(), own, strict=True):
                     out[i] = self.merge(b)

@@ -54,7 +54,7 @@ class ByteConvNet:
     def probabilities(self, windows: np.ndarray) -> np.ndarray:
         """Of windows (n, WINDOW) of bytes: (n, langs)."""
         out = np.zeros((len(windows), len(self.langs)), np.float32)
-        for i in range(0, len(windows), TOGETHER):
+        for i in range(0, len(windows) if self.langs else 0, TOGETHER):
             some = windows[i : i + TOGETHER].astype(np.uint16)
             pairs = some[:, :-1] << 8 | some[:, 1:]
             pooled = []

@@ -116,7 +116,8 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     that are also in a document of smaller doc_id.
 
     Positions count the words of the text. Passages that repeat inside one document only, and rows of equal doc_id, don't
-    count. Null ids come last. Empty tables and texts give nothing; equal rows give equal passages once.
+    count. A passage is compared with its first place only: words around it that agree with a later document's are not in
+    the span. Null ids come last. Empty tables and texts give nothing; equal rows give equal passages once.
     """
     runs = written(runs_of_repeats(written(suffix_table(docs), "suffixes")), "runs")
     ends = [("doc_id", "text_hash", F.col("start")), ("doc_id", "text_hash", F.col("stop")), ("first_doc_id", "first_hash", F.col("first_start")), ("first_doc_id", "first_hash", F.col("first_start") + F.col("stop") - F.col("start"))]
