@@ -81,7 +81,7 @@ def test_packing(docs, empty):
     for r in packed:
         ids, places = np.frombuffer(r.input_ids, "<u4"), np.frombuffer(r.position_ids, "<u4")
         assert len(ids) == 256 and r.cu_seqlens[-1] == r.n_tokens and (ids[r.n_tokens :] == packing.PAD).all()
-        for d, k, a, b in zip(r.doc_ids, r.part_of, r.cu_seqlens, r.cu_seqlens[1:], strict=True):
+        for d, k, a, b in zip(r.doc_ids, r.part_of, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True):
             parts.setdefault((d, k), []).append(ids[a:b])
             assert places[a:b].tolist() == list(range(b - a))
     for i, t in enumerate(TEXTS):

@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +24,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Encoded chunks, and pieces, that a worker keeps in each of two generations; beyond it the older one goes.
 MEMO = 300_000
 NEVER = (1 << 60, -1)
+#: White space other than blank and line feed, and the mark that splitting uses.
+ODD_SPACE = {c for i in range(0x3001) if (c := chr(i)).isspace() or not i} - {" ", "\n"}
 HIGH = 1 << 60
 
 
@@ -95,7 +96,6 @@ class Codec:
         self.longest = max(map(len, self.ids))
         self.pieces = regex.compile(PATTERN).findall
         self.around = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.odd = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]|\0").search
         self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
         self.made = np.array([made for _, made in self.rank.values()], np.int64)
         self.pair_rank = Table(np.array([a * size + b for a, b in self.rank], np.int64), np.arange(len(self.rank)))
@@ -263,6 +263,10 @@ class Codec:
             self.known[pieces[i]] = np.array(ids, "<u4").tobytes()
         self.exact += len(failing)
 
+    def odd(self, text: str) -> bool:
+        """Whether white space stands at an end, next to other white space, or is anything but blanks and line feeds."""
+        return text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or not ODD_SPACE.isdisjoint(text)
+
     def chunks(self, text: str) -> list[str]:
         """Parts that encode independently. Where white space is only single blanks and line feeds inside the text, a
         piece always ends before each of them, so the parts are found by splitting alone; else the pattern runs."""
@@ -286,7 +290,7 @@ class Codec:
         kept = fresh.intersection(self.memo_before)
         self.memo.update(zip(kept, map(self.memo_before.__getitem__, kept)))
         fresh -= kept
-        split = {c: self.pieces(c) for c in fresh if c not in self.special}
+        split = {c: [c] if c.isascii() and (c[1:] if c[0] == " " else c).isalpha() else self.pieces(c) for c in fresh if c not in self.special}
         known, wanted = self.known, set().union(*split.values()).difference(self.known)
         kept = wanted.intersection(self.known_before)
         known.update(zip(kept, map(self.known_before.__getitem__, kept)))
