@@ -76,8 +76,9 @@ def test_bpe_random_strings():
 
 
 def test_packing(docs, empty):
-    packed = packing.pack(docs, PATH, 256).collect()
-    own, parts = bpe.Codec(PATH), {}
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    packed = packing.pack(docs, ranks, 256).collect()
+    own, parts = packing.encoding(ranks), {}
     for r in packed:
         ids, places = np.frombuffer(r.input_ids, "<u4"), np.frombuffer(r.position_ids, "<u4")
         assert len(ids) == 256 and r.cu_seqlens[-1] == r.n_tokens and (ids[r.n_tokens :] == packing.PAD).all()
@@ -86,9 +87,9 @@ def test_packing(docs, empty):
             assert places[a:b].tolist() == list(range(b - a))
     for i, t in enumerate(TEXTS):
         whole = [x for k in sorted(p[1] for p in parts if p[0] == i) for x in parts[i, k][0].tolist()]
-        assert whole == np.frombuffer(own.encode_all([t or ""])[0], "<u4").tolist()
+        assert whole == own.encode_ordinary(t or "")
     assert len(parts[0, 0]) == 2  # the repeated row
-    assert packing.pack(empty, PATH).isEmpty()
+    assert packing.pack(empty, ranks).isEmpty()
 
 
 def test_best_fit_against_brute_force():

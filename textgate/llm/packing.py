@@ -8,14 +8,16 @@ pieces of bounded size, dealt by a hash of the document, so rows never depend on
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe
+from .bpe import PATTERN
 from .common import slices
 
 ROW_TOKENS = 2048
@@ -25,6 +27,18 @@ GROUP_TOKENS = 1 << 21
 PACKED_SCHEMA = "row_tokens int, n_tokens int, n_segments int, doc_ids array<bigint>, part_of array<int>, cu_seqlens array<int>, input_ids binary, position_ids binary"
 
 
+_encodings: dict[str, tiktoken.Encoding] = {}
+
+
+def encoding(path: str) -> tiktoken.Encoding:
+    """The encoding of a file of ranks; a worker reads it once. Special tokens' strings in a text are ordinary text."""
+    if path not in _encodings:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
+        _encodings[path] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[path]
+
+
 class Rooms:
     """A segment tree over capacities 0 .. most: how many open rows have each. fit(n) finds the smallest that is n at least."""
 
@@ -100,11 +114,11 @@ def pack_group(docs: list[tuple[int, np.ndarray]], room: int = ROW_TOKENS, pad:
 def pack(docs: DataFrame, path: str, room: int = ROW_TOKENS) -> DataFrame:
     """Packed rows of the texts of docs (PACKED_SCHEMA): every token of every text is in one place, in order within its
     piece; part_of says which piece of the document it is. Null and empty texts have no piece; documents with equal ids
-    are packed as separate documents. A worker packs about GROUP_TOKENS tokens of its partition at a time.
+    are packed as separate documents. path: a file of token ranks. A worker packs about GROUP_TOKENS tokens of its partition at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bpe.codec(path)
+        own = encoding(path)
         held: list[tuple[int, np.ndarray]] = []
         size = 0
 
@@ -117,10 +131,9 @@ def pack(docs: DataFrame, path: str, room: int = ROW_TOKENS) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, "text"):
-                ids = own.encode_all([t or "" for t in part.column("text").to_pylist()])
-                for d, b in zip(part.column("doc_id").to_pylist(), ids, strict=True):
-                    held.append((d, np.frombuffer(b, "<u4")))
-                    size += len(b) // 4
+                for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    held.append((d, np.array(own.encode_ordinary(t or ""), "<u4")))
+                    size += len(held[-1][1])
                 if size >= GROUP_TOKENS:
                     yield emit()
                     held, size = [], 0

@@ -11,6 +11,7 @@ from . import bpe, fingerprint, langid, media, mixing, ngram_join, packing, qual
 from .common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.summaries(packing.pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER)))
+    return packing.summaries(packing.pack(documents(spark, sf_dir), public_tokenizers.path(RANKS)))
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
