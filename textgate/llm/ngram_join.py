@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mix, shingles, slices, text_buffer, words, written
+from .common import discard, mix, shingles, slices, text_buffer, words, written
 
 #: A shingle is common if at least this share of a batch's sets has it (and 8 sets); of these, so many are ordered last.
 COMMON_SHARE, COMMON = 1 / 1024, 1 << 18
@@ -357,7 +357,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         own = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(own, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = written(small.unionByName(own.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "stars")
+        last, stars = stars, written(small.unionByName(own.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "stars")
+        discard(last)
     named = stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return named.unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
@@ -411,8 +412,11 @@ def labels(docs: DataFrame, profiled: DataFrame) -> DataFrame:
     """key, label of each set that is linked with another one; linked sets have the same label."""
     posted = postings(docs, common_shingles(profiled))
     sets = profiled.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"))
-    members = written(blocks(posted), "blocks").join(sets.select("key", "bits"), "key")
-    groups = components(written(candidate_links(members), "candidates"))
+    posted = written(blocks(posted), "blocks")
+    candidates = written(candidate_links(posted.join(sets.select("key", "bits"), "key")), "candidates")
+    discard(posted)
+    groups = components(candidates)
+    discard(candidates)
     sized = groups.join(groups.groupBy("label").agg(F.count("*").alias("many")), "label")
     parts = F.ceil(F.col("many") / PART).cast("int")
     spread = sized.withColumn("parts", F.when(F.col("many") > 2 * PART, parts).otherwise(F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shingles, slices, text_buffer, word_ends, words, written
+from .common import discard, shingles, slices, text_buffer, word_ends, words, written
 
 DEPTH, WINDOW = 25, 26
 LEAST = 50
@@ -66,11 +66,13 @@ def suffix_table(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key bigint, doc_id bigint, text_hash bigint, at int")
 
 
-def runs_of_repeats(table: DataFrame) -> DataFrame:
-    """doc_id, text_hash, start, stop, first_doc_id, first_hash, first_start: runs of kept suffixes that repeat those of
+def runs_of_repeats(docs: DataFrame) -> DataFrame:
+    """As a written table: doc_id, text_hash, start, stop, first_doc_id, first_hash, first_start: runs of kept suffixes that repeat those of
     another document at one distance."""
+    table = written(suffix_table(docs), "suffixes")
     repeated = table.groupBy("key").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last")).where("first_doc_id < _last").drop("_last")
     seen = written(table.join(repeated, "key"), "repeats")
+    discard(table)
     own = seen.where("doc_id = first_doc_id").groupBy("key").agg(F.min(F.struct("at", "text_hash")).alias("f"))
     pairs = seen.where("doc_id <> first_doc_id").join(own.select("key", F.col("f.at").alias("first_at"), F.col("f.text_hash").alias("first_hash")), "key")
     order = Window.partitionBy("doc_id", "text_hash").orderBy("at", "first_doc_id", "first_at")
@@ -78,7 +80,9 @@ def runs_of_repeats(table: DataFrame) -> DataFrame:
     marked = pairs.withColumn("_new", F.coalesce(far, F.lit(True)).cast("int"))
     numbered = marked.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = numbered.groupBy("doc_id", "text_hash", "_run").agg(F.min("at").alias("start"), (F.max("at") + DEPTH).alias("stop"), F.first("first_doc_id").alias("first_doc_id"), F.first("first_hash").alias("first_hash"), F.min("first_at").alias("first_start"))
-    return runs.drop("_run")
+    out = written(runs.drop("_run"), "runs")
+    discard(seen)
+    return out
 
 
 def contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -119,7 +123,7 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     count. A passage is compared with its first place only: words around it that agree with a later document's are not in
     the span. Null ids come last. Empty tables and texts give nothing; equal rows give equal passages once.
     """
-    runs = written(runs_of_repeats(written(suffix_table(docs), "suffixes")), "runs")
+    runs = runs_of_repeats(docs)
     ends = [("doc_id", "text_hash", F.col("start")), ("doc_id", "text_hash", F.col("stop")), ("first_doc_id", "first_hash", F.col("first_start")), ("first_doc_id", "first_hash", F.col("first_start") + F.col("stop") - F.col("start"))]
     places = [runs.select(F.col(d).alias("doc_id"), F.col(h).alias("text_hash"), p.alias("at")) for d, h, p in ends]
     asked = places[0].unionByName(places[1]).unionByName(places[2]).unionByName(places[3]).distinct()
