@@ -19,10 +19,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map, slices
+
 #: The byte-level pattern of the public tokenizer files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Encoded chunks, and pieces, that a worker keeps in each of two generations; beyond it the older one goes.
+#: Encoded chunks, and pieces, that a task keeps in each of two generations; beyond it the older one goes.
 MEMO = 300_000
+#: Bytes of text whose unknown pieces are learned together.
+LEARN_BYTES = 2_000_000
 NEVER = (1 << 60, -1)
 #: White space other than blank and line feed, and the mark that splitting uses.
 ODD_SPACE = {c for i in range(0x3001) if (c := chr(i)).isspace() or not i} - {" ", "\n"}
@@ -300,6 +304,10 @@ class Codec:
         get = self.memo.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
+    def forget(self) -> None:
+        """Drop all remembered chunks and pieces; verdicts on pairs stay."""
+        self.known, self.known_before, self.memo, self.memo_before = {}, {}, {}, {}
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
@@ -320,18 +328,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
     Rows are independent and keep their number and partitioning; repeated rows give repeated results. Null and empty
     texts have no ids. Other columns are ignored. An empty table gives an empty table.
     """
-    from .common import slices
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", LEARN_BYTES):
                 ids = own.encode_all([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(ids, pa.binary()), pa.array([len(b) // 4 for b in ids], pa.int64())], ["key", "ids", "n_tokens"])
 
     narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = narrow.schema["key"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"key {kind}, ids binary, n_tokens bigint").withColumnRenamed("key", key)
+    return arrow_map(narrow, run, f"key {kind}, ids binary, n_tokens bigint", lambda: codec(path).forget()).withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -344,7 +350,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
 
     narrow = encoded.select(F.col(key).alias("key"), "ids")
     kind = narrow.schema["key"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
+    return arrow_map(narrow, run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -352,13 +358,11 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     Both steps run in one pass, so ids never leave the worker. Null text counts as empty; repeated doc_ids stay apart.
     """
-    from .common import slices
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         sha = hashlib.sha256
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", LEARN_BYTES):
                 ids = own.encode_all([t or "" for t in part.column("text").to_pylist()])
                 back = [own.decode(b) for b in ids]
                 yield pa.RecordBatch.from_arrays(
@@ -371,4 +375,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", lambda: codec(path).forget())

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices, text_buffer
+from .common import arrow_map, slices, text_buffer
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, net: ByteConvNet, keep: list[str] | None = None) -
     shown = [f for f in wide.schema.fields if f.name in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [f for f in wide.schema.fields if f.name in (keep if "text" not in keep else [*keep])])
     assert len(shown) == len(keep)
-    return wide.mapInArrow(run, schema + ", lang_pred string, score double")
+    return arrow_map(wide, run, schema + ", lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, least: float = ACCEPT) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, mix, shingles, slices, text_buffer, words, written
+from .common import arrow_map, discard, gathered, mix, shingles, slices, text_buffer, words, written
 
 #: A shingle is common if at least this share of a batch's sets has it (and 8 sets); of these, so many are ordered last.
 COMMON_SHARE, COMMON = 1 / 1024, 1 << 18
@@ -69,7 +69,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, key, n, bits and (in a few rows) common: pairs of a common shingle and its count in the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, "text", COUNT_BYTES):
             for large in slices(batch, "text", COUNT_BYTES):
                 sets = [s for part in slices(large, "text") for s in shingle_sets(part)]
                 keys = [set_key(s) for s in sets]
@@ -89,7 +89,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 )
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, key bigint, n bigint, bits binary, common array<struct<shingle: bigint, n: bigint>>")
+    return arrow_map(rows, run, "doc_id bigint, text_hash bigint, key bigint, n bigint, bits binary, common array<struct<shingle: bigint, n: bigint>>")
 
 
 def common_shingles(profiled: DataFrame, most: int = COMMON) -> np.ndarray:
@@ -127,7 +127,7 @@ def postings(docs: DataFrame, common: np.ndarray) -> DataFrame:
                     k, n, p = (np.array(x, np.int64) for x in zip(*keys, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(k, p)), pa.array(np.repeat(n, p).astype(np.int32))], ["shingle", "key", "n"])
 
-    return docs.select("text").mapInArrow(run, "shingle bigint, key bigint, n int")
+    return arrow_map(docs.select("text"), run, "shingle bigint, key bigint, n int")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
@@ -191,7 +191,7 @@ def blocks(posted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(key[at]), pa.array(n[at])], ["block", "key", "n"])
 
     together = posted.repartition("shingle").sortWithinPartitions("shingle", "n", "key")
-    return together.mapInArrow(run, "block bigint, key bigint, n int").dropDuplicates(["block", "key"])
+    return arrow_map(together, run, "block bigint, key bigint, n int").dropDuplicates(["block", "key"])
 
 
 class Forest:
@@ -337,7 +337,7 @@ def candidate_links(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     together = members.select("block", "key", "n", "bits").repartition("block").sortWithinPartitions("block", "n", "key")
-    return together.mapInArrow(run, "a bigint, b bigint").distinct()
+    return arrow_map(together, run, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -376,7 +376,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 own = part.take(pa.array(keep, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*[own.column(c) for c in extra], pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array([bitmap(sets[i]) for i in keep], pa.binary()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], [*extra, "n", "bits", "shingles"])
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("text", *extra).mapInArrow(run, schema + ", n bigint, bits binary, shingles binary")
+    return arrow_map(docs.select("doc_id", "text").join(wanted, "doc_id").select("text", *extra), run, schema + ", n bigint, bits binary, shingles binary")
 
 
 def true_links(sets: DataFrame) -> DataFrame:
@@ -405,7 +405,7 @@ def true_links(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.bool_())], ["a", "b", "cut"])
 
     together = sets.select("part", "cut", "key", "n", "bits", "shingles").repartition("part").sortWithinPartitions("part", "n", "key")
-    return together.mapInArrow(run, "a bigint, b bigint, cut boolean")
+    return arrow_map(together, run, "a bigint, b bigint, cut boolean")
 
 
 def labels(docs: DataFrame, profiled: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, shingles, slices, text_buffer, word_ends, words, written
+from .common import arrow_map, discard, shingles, slices, text_buffer, word_ends, words, written
 
 DEPTH, WINDOW = 25, 26
 LEAST = 50
@@ -63,7 +63,7 @@ def suffix_table(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("doc_id").take(rows), part.column("text_hash").take(rows), pa.array(at.astype(np.int32))], ["key", "doc_id", "text_hash", "at"])
 
     rows = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, "key bigint, doc_id bigint, text_hash bigint, at int")
+    return arrow_map(rows, run, "key bigint, doc_id bigint, text_hash bigint, at int")
 
 
 def runs_of_repeats(docs: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
 
     own = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     asked = places.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("places"))
-    return own.join(asked, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "places").mapInArrow(run, "doc_id bigint, text_hash bigint, at int, before binary, after binary").dropDuplicates(["doc_id", "text_hash", "at"])
+    return arrow_map(own.join(asked, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "places"), run, "doc_id bigint, text_hash bigint, at int, before binary, after binary").dropDuplicates(["doc_id", "text_hash", "at"])
 
 
 def agreeing(a: bytes, b: bytes) -> int:
@@ -139,7 +139,7 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
             names = ["doc_id", "text_hash", "start", "stop", "first_doc_id", "first_start"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(left, pa.int32()), pa.array(right, pa.int32())], [*names, "left", "right"])
 
-    wide = full.mapInArrow(extend, "doc_id bigint, text_hash bigint, start int, stop int, first_doc_id bigint, first_start int, left int, right int")
+    wide = arrow_map(full, extend, "doc_id bigint, text_hash bigint, start int, stop int, first_doc_id bigint, first_start int, left int, right int")
     spans = wide.select("doc_id", "text_hash", (F.col("start") - F.col("left")).alias("start_word"), (F.col("stop") + F.col("right") - F.col("start") + F.col("left")).alias("n_words"), "first_doc_id", (F.col("first_start") - F.col("left")).alias("first_word"))
     return spans.where(F.col("n_words") >= least).distinct()
 
@@ -187,4 +187,4 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 at = {"text": pa.array(text, pa.string()), "n_chars": pa.array(size, pa.int64())}
                 yield pa.RecordBatch.from_arrays([at.get(c, part.column(c)).take(rows) for c in cols], cols)
 
-    return joined.mapInArrow(run, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return arrow_map(joined, run, "doc_id bigint, text string, lang string, source string, n_chars bigint")
