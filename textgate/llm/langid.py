@@ -147,9 +147,13 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, passages: int = PASSAGES)
     """Train on at most train_docs documents of each language (the first by a hash of their id) and on passages of
     WINDOW characters spread over each. Held-out and unlabelled documents and empty texts are left out. Without any
     labelled document the network knows no language and all texts are undetermined."""
-    pool = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = pool.withColumn("_rank", rank).where(F.col("_rank") <= train_docs).select("doc_id").distinct()
+    pool = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("_hash")).where(F.col("lang").isNotNull() & ~held_out()).withColumn("_part", F.shiftright("_hash", 52))
+    counts = pool.groupBy("lang", "_part").agg(F.count("*").alias("_n"))  # 4096 parts of the hash's range at most
+    before = F.sum("_n").over(Window.partitionBy("lang").orderBy("_part")) - F.col("_n")
+    last = counts.withColumn("_before", before).where(F.col("_before") < train_docs).groupBy("lang").agg(F.max("_part").alias("_last"))
+    few = pool.join(F.broadcast(last), "lang").where("_part <= _last")  # a row of each language, as the network has outputs
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "doc_id"))
+    chosen = few.withColumn("_rank", rank).where(F.col("_rank") <= train_docs).select("doc_id").distinct()
     n = F.greatest(F.length("text"), F.lit(1))
     cut = [F.substring("text", (1 + F.floor(n * i / passages)).cast("int"), F.lit(WINDOW)) for i in range(passages)]
     kept = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi")  # a bounded list
