@@ -235,6 +235,31 @@ def test_repeats_against_brute_force(spark):
     assert set(got) == set(want) and all(got[i] <= want[i] and len(want[i] - got[i]) <= 3 for i in want)
 
 
+def test_repeats_in_whichever_document(spark):
+    """Passages that share a common line, and texts that share different parts with different documents: no word is lost."""
+    texts = []
+    for k in range(40):
+        line = prose(30 + k % 19, 5000 + k)
+        around = [prose(11 + k % 4, 5100 + 10 * k + i) for i in range(2)]
+        shared = f"{around[0]} {line} {around[1]}"
+        texts += [f"{prose(20, 6000 + k)} {line} {prose(20, 7000 + k)}", f"{prose(30, 8000 + k)} {shared} {prose(30, 9000 + k)}", f"{prose(25, 10000 + k)} {shared} {prose(25, 11000 + k)}"]
+    long = prose(150, 77).split()
+    texts += [" ".join(long[:80]) + " " + prose(40, 78), prose(40, 79) + " " + " ".join(long[40:]), " ".join(long)]
+    first, want = {}, {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for j in range(len(w) - 49):
+            f = first.setdefault(tuple(w[j : j + 50]), i)
+            if f != i:
+                want.setdefault(i, set()).update(range(j, j + 50))
+    got = {}
+    for x in suffixes.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect():
+        a, b = texts[x.doc_id].split(), texts[x.first_doc_id].split()
+        assert x.first_doc_id < x.doc_id and x.n_words >= 50 and a[x.start_word : x.start_word + x.n_words] == b[x.first_word : x.first_word + x.n_words]
+        got.setdefault(x.doc_id, set()).update(range(x.start_word, x.start_word + x.n_words))
+    assert len(want) > 30 and got == want
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard(docs, 3, 64).collect()
     assert len(rows) == len(TEXTS) + 1

@@ -1,14 +1,15 @@
-"""Removal of repeated passages with a sparse suffix array.
-
-Suffixes begin at words. Of each document only those at content-selected positions are kept: in each run of WINDOW
-successive suffixes, the one whose first DEPTH words have the smallest hash. Two equal passages of DEPTH + WINDOW - 1 = 50
-words or more so share a kept suffix with the same first DEPTH words. The kept suffixes are sorted by those words' hash and
-neighbours that agree are compared: the suffix of the smallest doc_id is the passage's first place, the others repeat it.
-Runs of repeats at one distance are extended left and right, word by word, as far as the texts agree; matches of at least
-LEAST words are repeats. Words are compared with A-Z in lower case and by 64-bit hashes.
-
-Only a passage's key meets in one place, in counts and minima that are aggregated before they are shuffled; occurrences
-are joined to the first place, a join that Spark splits where a passage is in very many documents.
+"""Removal of repeated passages by the windows of words that documents share.
+
+A window is LEAST successive words. Each belongs to one kept suffix: of the runs of about LEAST / 2 words within it, the first one
+of smallest hash. Equal windows so belong to suffixes of one key, the hash of that run, and only suffixes whose key is in more than one
+document can have a repeated window. A suffix's own windows are summed to a signature: where all suffixes of a key have one
+signature, the smallest doc_id holds every window first. Otherwise the windows of one suffix of each signature are hashed
+one by one, and the smallest doc_id of each hash is its first place. Windows at one distance from their first places are put together
+to passages. Every window that is in a document of smaller doc_id is found, in whichever of them it is. Words are compared
+with A-Z in lower case and by 64-bit hashes.
+
+Keys, signatures and windows meet in counts and minima that are aggregated before they are shuffled; occurrences are joined to
+them, joins that Spark splits where a passage is in very many documents.
 """
 
 from __future__ import annotations
@@ -17,131 +18,143 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, discard, shingles, slices, text_buffer, word_ends, words, written
+from .common import arrow_map, discard, mix, shingles, slices, text_buffer, word_ends, words, written
 
-DEPTH, WINDOW = 25, 26
 LEAST = 50
-#: Words beyond a run of kept suffixes that are compared: the next kept suffix would begin and end within them.
-REACH = DEPTH + WINDOW
 _NO_ID = (1 << 63) - 1
+_HEAD, _TAIL, _KEY = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+
+def depth(least: int) -> int:
+    """Words of a suffix's key: two of them cover a window."""
+    return (least + 1) // 2
+
+
+def window_hashes(runs: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
+    """Hashes of the windows that begin at these runs of depth(least) words."""
+    return mix(runs[starts] * _HEAD + runs[starts + least - depth(least)] * _TAIL)
+
+
+def kept_suffixes(hashes: np.ndarray, bounds: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, ...]:
+    """(text, word position in the text, key, signature, words from its first window to it, number of windows) of the kept
+    suffixes of texts of words. Texts of fewer than `least` words have none."""
+    runs, out = shingles(hashes, bounds, depth(least))
+    wide = least - depth(least) + 1
+    per_text = np.maximum(np.diff(bounds) - least + 1, 0)
+    total = int(per_text.sum())
+    if not total:
+        none = np.zeros(0, np.int64)
+        return none, none, none.view(np.uint64), none.view(np.uint64), none, none
+    starts = np.arange(total) + np.repeat(out[:-1] - (np.cumsum(per_text) - per_text), per_text)
+    view = np.lib.stride_tricks.sliding_window_view(runs, wide)
+    picked = np.concatenate([starts[i : i + (1 << 16)] + view[starts[i : i + (1 << 16)]].argmin(axis=1) for i in range(0, total, 1 << 16)])
+    at, index, n = np.unique(picked, return_index=True, return_counts=True)
+    signature = mix(np.add.reduceat(mix(window_hashes(runs, starts, least)), index) + runs[at] * _KEY)
+    text = np.searchsorted(out, at, "right") - 1
+    return text, at - out[text], runs[at], signature, at - starts[index], n
 
 
-def kept_suffixes(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word position in the text, key) of the kept suffixes of texts of words."""
-    n = np.diff(bounds)
-    runs, out = shingles(hashes, bounds, DEPTH)
-    count = np.where(n >= DEPTH, np.diff(out), 0)
-    picked = []
-    if len(runs) >= WINDOW:
-        starts = np.arange(len(runs) - WINDOW + 1)
-        text_of = np.repeat(np.arange(len(n)), np.diff(out))
-        inside = starts[(text_of[: len(starts)] == text_of[WINDOW - 1 :]) & (count[text_of[: len(starts)]] >= WINDOW)]
-        view = np.lib.stride_tricks.sliding_window_view(runs, WINDOW)
-        for i in range(0, len(inside), 1 << 16):
-            some = inside[i : i + (1 << 16)]
-            picked.append(some + view[some].argmin(axis=1))
-    for t in np.flatnonzero((count > 0) & (count < WINDOW)).tolist():
-        picked.append(np.array([out[t] + runs[out[t] : out[t + 1]].argmin()]))
-    at = np.unique(np.concatenate(picked)) if picked else np.zeros(0, np.int64)
-    text = np.searchsorted(out, at, "right") - 1
-    return text, at - out[text], runs[at]
+def identified(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
 
 
-def suffix_table(docs: DataFrame) -> DataFrame:
-    """key, doc_id, text_hash, at: the kept suffixes. Texts of fewer than DEPTH words, empty and null texts have none."""
+def suffix_table(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """key, sig, doc_id, text_hash, start, n: the kept suffixes with the first of their windows and the number of these. Texts
+    of fewer than `least` words, empty and null texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 _, hashes, bounds = words(*text_buffer(part.column("text")))
-                text, at, key = kept_suffixes(hashes, bounds)
+                text, at, key, sig, lead, n = kept_suffixes(hashes, bounds, least)
                 rows = pa.array(text)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("doc_id").take(rows), part.column("text_hash").take(rows), pa.array(at.astype(np.int32))], ["key", "doc_id", "text_hash", "at"])
-
-    rows = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return arrow_map(rows, run, "key bigint, doc_id bigint, text_hash bigint, at int")
-
+                cols = [pa.array(key.view(np.int64)), pa.array(sig.view(np.int64)), part.column("doc_id").take(rows), part.column("text_hash").take(rows), pa.array((at - lead).astype(np.int32)), pa.array(n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "sig", "doc_id", "text_hash", "start", "n"])
 
-def runs_of_repeats(docs: DataFrame) -> DataFrame:
-    """As a written table: doc_id, text_hash, start, stop, first_doc_id, first_hash, first_start: runs of kept suffixes that repeat those of
-    another document at one distance."""
-    table = written(suffix_table(docs), "suffixes")
-    repeated = table.groupBy("key").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last")).where("first_doc_id < _last").drop("_last")
-    seen = written(table.join(repeated, "key"), "repeats")
-    discard(table)
-    own = seen.where("doc_id = first_doc_id").groupBy("key").agg(F.min(F.struct("at", "text_hash")).alias("f"))
-    pairs = seen.where("doc_id <> first_doc_id").join(own.select("key", F.col("f.at").alias("first_at"), F.col("f.text_hash").alias("first_hash")), "key")
-    order = Window.partitionBy("doc_id", "text_hash").orderBy("at", "first_doc_id", "first_at")
-    far = (F.col("at") - F.lag("at").over(order) > WINDOW) | (F.lag("first_doc_id").over(order) != F.col("first_doc_id")) | (F.lag("first_hash").over(order) != F.col("first_hash")) | (F.lag(F.col("at") - F.col("first_at")).over(order) != F.col("at") - F.col("first_at"))
-    marked = pairs.withColumn("_new", F.coalesce(far, F.lit(True)).cast("int"))
-    numbered = marked.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = numbered.groupBy("doc_id", "text_hash", "_run").agg(F.min("at").alias("start"), (F.max("at") + DEPTH).alias("stop"), F.first("first_doc_id").alias("first_doc_id"), F.first("first_hash").alias("first_hash"), F.min("first_at").alias("first_start"))
-    out = written(runs.drop("_run"), "runs")
-    discard(seen)
-    return out
+    return arrow_map(identified(docs), run, "key bigint, sig bigint, doc_id bigint, text_hash bigint, start int, n int")
 
 
-def contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """doc_id, text_hash, at, before, after: the hashes of up to REACH words on either side of a word position, as bytes
-    (before: nearest first). places: doc_id, text_hash, at; a document's places are as many as its kept suffixes at most."""
+def window_table(docs: DataFrame, asked: DataFrame, least: int = LEAST) -> DataFrame:
+    """hash, sig, i, doc_id, text_hash, start: the windows of the suffixes asked for (sig, doc_id, text_hash, start, n); i counts
+    those of a suffix from 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 _, hashes, bounds = words(*text_buffer(part.column("text")))
-                rows, at, before, after = [], [], [], []
-                for i, (a, b, ps) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), part.column("places").to_pylist(), strict=True)):
-                    for p in ps:
-                        rows.append(i)
-                        at.append(p)
-                        before.append(hashes[max(a, a + p - REACH) : a + p][::-1].tobytes())
-                        after.append(hashes[a + p : min(b, a + p + REACH)].tobytes())
-                take = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("text_hash").take(take), pa.array(at, pa.int32()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["doc_id", "text_hash", "at", "before", "after"])
-
-    own = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    asked = places.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("places"))
-    return arrow_map(own.join(asked, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "places"), run, "doc_id bigint, text_hash bigint, at int, before binary, after binary").dropDuplicates(["doc_id", "text_hash", "at"])
+                runs, out = shingles(hashes, bounds, depth(least))
+                places = part.column("places")
+                sig, start, n = (places.flatten().field(c).to_numpy(zero_copy_only=False) for c in range(3))
+                text = np.repeat(np.arange(part.num_rows), pc.list_value_length(places).to_numpy(zero_copy_only=False))
+                i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                first = np.repeat(start, n) + i
+                rows = pa.array(np.repeat(text, n))
+                h = window_hashes(runs, np.repeat(out[text], n) + first, least)
+                cols = [pa.array(h.view(np.int64)), pa.array(np.repeat(sig, n)), pa.array(i.astype(np.int32)), part.column("doc_id").take(rows), part.column("text_hash").take(rows), pa.array(first.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["hash", "sig", "i", "doc_id", "text_hash", "start"])
+
+    places = asked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("sig", "start", "n")).alias("places"))
+    held = identified(docs).join(places, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "places")
+    return arrow_map(held, run, "hash bigint, sig bigint, i int, doc_id bigint, text_hash bigint, start int")
+
+
+def first_places(windows: DataFrame) -> DataFrame:
+    """sig, i, last, f: windows i to last of a suffix, and the first place f (doc_id, text_hash, start) of the first of them.
+    Those that follow one another at one distance from their first places are put together as far as a batch goes."""
+    first = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("f"))
+    rows = windows.select("hash", "sig", "i").join(first, "hash").select("sig", "i", "f.*").repartition("sig").sortWithinPartitions("sig", "i")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sig, i, doc_id, text_hash, start = (batch.column(c).to_numpy() for c in range(5))
+                new = np.ones(len(sig), bool)
+                new[1:] = (np.diff(i) > 1) | np.any([c[1:] != c[:-1] for c in (sig, doc_id, text_hash, start - i)], axis=0)
+                head = np.flatnonzero(new)
+                kept = batch.take(pa.array(head))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(i[np.append(head[1:], len(i)) - 1]), *kept.columns[2:]], ["sig", "i", "last", "first_doc_id", "first_hash", "first_start"])
 
-def agreeing(a: bytes, b: bytes) -> int:
-    """How many hashes at the beginning agree."""
-    n = min(len(a), len(b)) // 8
-    different = np.flatnonzero(np.frombuffer(a, np.uint64, n) != np.frombuffer(b, np.uint64, n))
-    return int(different[0]) if len(different) else n
+    return arrow_map(rows, run, "sig bigint, i int, last int, first_doc_id bigint, first_hash bigint, first_start int")
 
 
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, text_hash, start_word, n_words, first_doc_id, first_word: passages of `least` words or more of a document
-    that are also in a document of smaller doc_id.
+    """doc_id, text_hash, start_word, n_words, first_doc_id, first_word, as a written table: passages of `least` words or more
+    of a document that are also in a document of smaller doc_id.
 
     Positions count the words of the text. Passages that repeat inside one document only, and rows of equal doc_id, don't
-    count. A passage is compared with its first place only: words around it that agree with a later document's are not in
-    the span. Null ids come last. Empty tables and texts give nothing; equal rows give equal passages once.
+    count. The first place of each window of `least` words is in the smallest doc_id that holds it; a passage whose windows have
+    first places in several documents comes in parts that overlap. Null ids come last. Empty tables and texts give nothing;
+    equal rows give equal passages once.
     """
-    runs = runs_of_repeats(docs)
-    ends = [("doc_id", "text_hash", F.col("start")), ("doc_id", "text_hash", F.col("stop")), ("first_doc_id", "first_hash", F.col("first_start")), ("first_doc_id", "first_hash", F.col("first_start") + F.col("stop") - F.col("start"))]
-    places = [runs.select(F.col(d).alias("doc_id"), F.col(h).alias("text_hash"), p.alias("at")) for d, h, p in ends]
-    asked = places[0].unionByName(places[1]).unionByName(places[2]).unionByName(places[3]).distinct()
-    around = written(contexts(docs, asked), "contexts")
-    full = runs
-    for name, (d, h, p), side in zip(("own_left", "own_right", "first_left", "first_right"), ends, ("before", "after") * 2, strict=True):
-        there = around.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("at").alias("_p"), F.col(side).alias(name))
-        full = full.join(there, (F.col(d) == F.col("_d")) & (F.col(h) == F.col("_h")) & (p == F.col("_p"))).drop("_d", "_h", "_p")
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = ([agreeing(a, b) for a, b in zip(batch.column(f"own_{s}").to_pylist(), batch.column(f"first_{s}").to_pylist(), strict=True)] for s in ("left", "right"))
-            names = ["doc_id", "text_hash", "start", "stop", "first_doc_id", "first_start"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(left, pa.int32()), pa.array(right, pa.int32())], [*names, "left", "right"])
-
-    wide = arrow_map(full, extend, "doc_id bigint, text_hash bigint, start int, stop int, first_doc_id bigint, first_start int, left int, right int")
-    spans = wide.select("doc_id", "text_hash", (F.col("start") - F.col("left")).alias("start_word"), (F.col("stop") + F.col("right") - F.col("start") + F.col("left")).alias("n_words"), "first_doc_id", (F.col("first_start") - F.col("left")).alias("first_word"))
-    return spans.where(F.col("n_words") >= least).distinct()
+    table = written(suffix_table(docs, least), "suffixes")
+    spread = table.groupBy("key").agg(*[f(c).alias(f"{n}_{c}") for c in ("doc_id", "sig") for n, f in (("min", F.min), ("max", F.max))]).where("min_doc_id < max_doc_id")
+    seen = written(table.join(spread.select("key", (F.col("min_sig") < F.col("max_sig")).alias("varied")), "key").drop("key"), "repeats")
+    discard(table)
+    first = written(seen.groupBy("sig").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("f"), F.first("n").alias("n"), F.first("varied").alias("varied")).select("sig", "f.*", "n", "varied"), "signatures")
+    windows = written(window_table(docs, first.where("varied"), least), "windows")
+    alike = first.where("not varied").select("sig", F.lit(0).alias("i"), (F.col("n") - 1).alias("last"), F.col("doc_id").alias("first_doc_id"), F.col("text_hash").alias("first_hash"), F.col("start").alias("first_start"))
+    found = written(alike.unionByName(first_places(windows)), "places")
+    discard(windows)
+    discard(first)
+    start, stop = F.col("start") + F.col("i"), F.col("start") + F.col("last") + least
+    pairs = seen.select("sig", "doc_id", "text_hash", "start").join(found, "sig").where("first_doc_id < doc_id").select("doc_id", "text_hash", start.alias("start"), stop.alias("stop"), "first_doc_id", "first_hash", "first_start")
+    order = Window.partitionBy("doc_id", "text_hash").orderBy("start", "stop")
+    same = [F.col("first_doc_id"), F.col("first_hash"), F.col("start") - F.col("first_start")]
+    far = F.col("start") + least - 1 > F.lag("stop").over(order)
+    for c in same:
+        far = far | (F.lag(c).over(order) != c)
+    marked = pairs.withColumn("_new", F.coalesce(far, F.lit(True)).cast("int"))
+    numbered = marked.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy("doc_id", "text_hash", "_run").agg(F.min("start").alias("start_word"), (F.max("stop") - F.min("start")).alias("n_words"), F.first("first_doc_id").alias("first_doc_id"), F.min("first_start").alias("first_word"))
+    out = written(runs.drop("_run"), "passages")
+    discard(seen)
+    discard(found)
+    return out
 
 
 def spans_of(found: DataFrame) -> DataFrame:
