@@ -1,8 +1,12 @@
 import json
+import re
+import unicodedata
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from textgate.operators import attribution, benchmark, generate, history, invariants, journal, lint, mining, registry, render, routing, sections
+from textgate.plans import catalogue
 from textgate.sources import corpus, rules
 from textgate.streaming import incremental
 
@@ -211,3 +215,33 @@ def test_catalogue_against_duckdb(spark):
         got, want = QUERIES[name](spark, sf), con.sql(sql)
         assert sorted(got.columns) == sorted(want.columns), name
         assert got.count() == len(want), name
+
+
+ACCENTED = [("en", "Of the caf\u00e9 and of-the bar. It was quickly taken."), ("fr", "of the \ufb01n; OF\u00a0THE \u00e9t\u00e9 ofthe ofth\u00e9"), ("en", "\u201cof-the\u201d the-non \u2014 the non; they were seen"), ("de", "plain of the of-the"), (None, "It is \u00fcberly baked. \u201cWe\u201d are given."), ("en", ""), ("en", None)]
+
+
+def tables(spark, path, **rows):
+    for name, (values, schema) in rows.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def accented(spark, path):
+    return tables(spark, path, documents=([(i, f"s{i % 2}", lang, x) for i, (lang, x) in enumerate(ACCENTED)], "doc_id bigint, source string, lang string, text string"))
+
+
+def test_notation_over_all_documents(spark, tmp_path):
+    at = accented(spark, tmp_path)
+    per = {}
+    for i, (_, x) in enumerate(ACCENTED):
+        low = unicodedata.normalize("NFKC", x or "").lower()
+        for f in catalogue.FAMILIES:
+            for v in f:
+                if n := len(re.findall(rf"(?<!\w){re.escape(v)}(?!\w)", low)):
+                    per[i, f[0], v] = n
+    want = Counter()
+    for (i, f, v), n in per.items():
+        want[f"s{i % 2}", f, v] += n
+    assert {tuple(r[:3]): r.cnt for r in catalogue.notation_watch_all(spark, at).collect()} == want
+    mixed = {k: n for k, n in Counter((i, f) for i, f, _ in per).items() if n >= 2}
+    assert len(mixed) > 3 and {(r.doc_id, r.family): r.variants for r in catalogue.inconsistent_families_all(spark, at).collect()} == mixed

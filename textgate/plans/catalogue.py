@@ -129,6 +129,18 @@ def inconsistent_families(spark, sf_dir):
     return lint.notation_issues(ascii_docs(spark, sf_dir), families=FAMILIES)
 
 
+@query()
+def notation_watch_all(spark, sf_dir):
+    """notation_watch over every document; SQL has no NFKC, so that one is held against it on ASCII texts only."""
+    return mining.notation_watch(docs(spark, sf_dir), families=FAMILIES)
+
+
+@query()
+def inconsistent_families_all(spark, sf_dir):
+    """inconsistent_families over every document."""
+    return lint.notation_issues(docs(spark, sf_dir), families=FAMILIES)
+
+
 @query()
 def section_split(spark, sf_dir):
     return sections.split_sections(docs(spark, sf_dir), "doc_id")
