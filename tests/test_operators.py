@@ -245,3 +245,14 @@ def test_notation_over_all_documents(spark, tmp_path):
     assert {tuple(r[:3]): r.cnt for r in catalogue.notation_watch_all(spark, at).collect()} == want
     mixed = {k: n for k, n in Counter((i, f) for i, f, _ in per).items() if n >= 2}
     assert len(mixed) > 3 and {(r.doc_id, r.family): r.variants for r in catalogue.inconsistent_families_all(spark, at).collect()} == mixed
+
+
+def test_passives_over_all_documents(spark, tmp_path):
+    at = accented(spark, tmp_path)
+    passive = r"(?i)(?<!\w)(?:is|are|was|were|be|been|being)\s+(?:\w+ly\s+)?\w+(?:ed|en)(?!\w)"
+    want = {i: None if x is None else len(re.findall(passive, x)) for i, (_, x) in enumerate(ACCENTED)}
+    assert {r.doc_id: r.passives for r in catalogue.passive_counts_all(spark, at).collect()} == want and sum(n or 0 for n in want.values()) == 4
+    for r in catalogue.field_stats_all(spark, at).collect():
+        own = [i for i in want if f"s{i % 2}" == r.source]
+        n_words = sum(len(re.findall("[A-Za-z][A-Za-z-]+", ACCENTED[i][1] or "")) for i in own)
+        assert abs(r.passive_per_10k - sum(want[i] or 0 for i in own) * 10000 / n_words) < 1e-9

@@ -90,6 +90,18 @@ def passive_counts(spark, sf_dir):
     return d.select("doc_id", T.count(F.col("text"), X.PASSIVE).alias("passives"))
 
 
+@query()
+def passive_counts_all(spark, sf_dir):
+    """passive_counts over every document, of whatever language and letters; SQL follows on ASCII texts only."""
+    return docs(spark, sf_dir).select("doc_id", T.count(F.col("text"), X.PASSIVE).alias("passives"))
+
+
+@query()
+def field_stats_all(spark, sf_dir):
+    """field_stats with passive_per_10k."""
+    return mining.field_stats(docs(spark, sf_dir))
+
+
 _TOKENS = "t as (select source, doc_id, i - 1 as pos, w[i] as word, lower(w[i]) as term from (select source, doc_id, w, unnest(generate_series(1, len(w))) as i from (select *, regexp_extract_all(text, '[A-Za-z][A-Za-z-]{1,}') as w from documents)))"
 _STOPS = ", ".join(f"'{s}'" for s in STOP)
 
