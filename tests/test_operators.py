@@ -256,3 +256,14 @@ def test_passives_over_all_documents(spark, tmp_path):
         own = [i for i in want if f"s{i % 2}" == r.source]
         n_words = sum(len(re.findall("[A-Za-z][A-Za-z-]+", ACCENTED[i][1] or "")) for i in own)
         assert abs(r.passive_per_10k - sum(want[i] or 0 for i in own) * 10000 / n_words) < 1e-9
+
+
+def test_benchmark_passages_glued_to_their_surroundings(spark, tmp_path):
+    long, five, two, inner = "The quick brown fox jumps over the lazy dog", "one two three four five", "alpha beta", " led by space then six more words "
+    texts = [f"say ({long}) now", f"x {long}.", f"x\u00a0{long}", f"it has {five}, yes", f"un{two}x", "alpha  beta", "a b c d e f g h", None, "", f"well{inner}on", "The quick brown fox jumps over the lazy cat", five.replace("two", "2")]
+    rows = [(i, f"s{i % 2}", "en", x) for i, x in enumerate(texts)]
+    passages = [long, five, two, inner, long, None]
+    at = tables(spark, tmp_path, documents=(rows, "doc_id bigint, source string, lang string, text string"), benchmark=(list(enumerate(passages)), "item_id bigint, text string"))
+    want = Counter(s for _, s, _, x in rows if not any(p in (x or "") for p in passages if p))
+    assert sum(want.values()) == 6
+    assert {r.source: r.papers for r in catalogue.excluded_by_benchmark_passage(spark, at).collect()} == want

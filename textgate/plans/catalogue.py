@@ -209,15 +209,19 @@ def licence_gate_active(spark, sf_dir):
 @query("select source, count(*) as papers from documents d where not exists (select 1 from benchmark b where contains(d.text, b.text)) group by source")
 def excluded_by_benchmark_passage(spark, sf_dir):
     d, b = docs(spark, sf_dir), table(spark, sf_dir, "benchmark")
-    # A passage can only be where its first words are: they are looked up by equality, not by a nested loop over passages.
+    # A passage's first and last words may be parts of longer ones in a text; those between are whole there. A passage can so only
+    # be where its second to sixth words are: they are looked up by equality. Passages too short for that are few; they
+    # are compared with each text.
     spaced = lambda c: F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
     words = F.col("w")
-    head = F.array_join(F.slice(spaced(F.col("text")), 1, 5), " ")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 5), " "))
-    keyed = b.select(head.alias("h"), F.col("text").alias("passage"))
+    cut = b.where("text is not null").select(F.col("text").alias("passage"), spaced(F.col("text")).alias("w")).distinct()
+    keyed = cut.where(F.size(words) >= 7).select(F.array_join(F.slice(words, 2, 5), " ").alias("h"), "passage")
+    short = cut.where(F.size(words) < 7).select("passage")
     keys = d.select("doc_id", spaced(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(grams)).alias("h"))
     near = keys.join(keyed, "h").select("doc_id", "passage").distinct()
-    hits = d.select("doc_id", "text").join(near, "doc_id").where(F.contains("text", "passage")).select("doc_id").distinct()
+    hits = d.select("doc_id", "text").join(near, "doc_id").where(F.contains("text", "passage")).select("doc_id")
+    hits = hits.unionByName(d.join(F.broadcast(short), F.contains("text", "passage"), "left_semi").select("doc_id")).distinct()
     return attribution.not_excluded(d, hits, "doc_id").groupBy("source").agg(F.count("*").alias("papers"))
 
 
