@@ -218,6 +218,19 @@ def test_repeats(docs, empty):
     assert suffixes.repeats(empty).isEmpty()
 
 
+def test_near_copies_with_null_ids(spark):
+    """A set that only rows without id hold is linked, and is a bridge between sets that aren't linked with each other."""
+    w = prose(200, 8000).split()
+    change = lambda x, n, at: " ".join(v if not at <= i < at + n else f"new{i}" for i, v in enumerate(x))
+    bridge = change(w, 8, 90)
+    far = change(bridge.split(), 8, 150)
+    rows = [(1, " ".join(w)), (None, bridge), (3, far), (None, prose(50, 8001)), (None, None), (6, "")]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.near_copies(d).collect()}
+    assert got[3, 196] == got[None, 196] == got[1, 196] == 1
+    assert sorted((r.doc_id or 0, r.text or "") for r in ngram_join.one_of_each(d).collect()) == sorted([(1, rows[0][1]), (0, rows[3][1]), (0, ""), (6, "")])
+
+
 def test_repeats_against_brute_force(spark):
     r = np.random.default_rng(4)
     passages = [prose(int(r.integers(30, 90)), 200 + i) for i in range(8)]

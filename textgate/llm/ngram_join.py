@@ -364,9 +364,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The columns of wanted (doc_id, key, ...) with n, bits and shingles of the document whose set has the key."""
-    extra = [c for c in wanted.columns if c != "doc_id"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema.fields if f.name != "doc_id")
+    """The columns of wanted (doc_id, text_hash, key, ...) with n, bits and shingles of the document whose set has the key. Null ids
+    are met too."""
+    extra = [c for c in wanted.columns if c not in ("doc_id", "text_hash")]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema.fields if f.name in extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,7 +377,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 own = part.take(pa.array(keep, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*[own.column(c) for c in extra], pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array([bitmap(sets[i]) for i in keep], pa.binary()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], [*extra, "n", "bits", "shingles"])
 
-    return arrow_map(docs.select("doc_id", "text").join(wanted, "doc_id").select("text", *extra), run, schema + ", n bigint, bits binary, shingles binary")
+    d, w = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).alias("d"), wanted.alias("w")
+    held = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash"))).select("d.text", *[f"w.{c}" for c in extra])
+    return arrow_map(held, run, schema + ", n bigint, bits binary, shingles binary")
 
 
 def true_links(sets: DataFrame) -> DataFrame:
@@ -411,7 +414,7 @@ def true_links(sets: DataFrame) -> DataFrame:
 def labels(docs: DataFrame, profiled: DataFrame) -> DataFrame:
     """key, label of each set that is linked with another one; linked sets have the same label."""
     posted = postings(docs, common_shingles(profiled))
-    sets = profiled.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"))
+    sets = profiled.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r"), F.first("bits").alias("bits")).select("key", "r.doc_id", "r.text_hash", "bits")
     posted = written(blocks(posted), "blocks")
     candidates = written(candidate_links(posted.join(sets.select("key", "bits"), "key")), "candidates")
     discard(posted)
@@ -421,7 +424,7 @@ def labels(docs: DataFrame, profiled: DataFrame) -> DataFrame:
     parts = F.ceil(F.col("many") / PART).cast("int")
     spread = sized.withColumn("parts", F.when(F.col("many") > 2 * PART, parts).otherwise(F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64(F.col("label"), F.least("own", j), F.greatest("own", j)))
-    wanted = spread.join(sets.select(F.col("key").alias("node"), "doc_id"), "node").select("doc_id", F.col("node").alias("key"), others.alias("in_parts"), (F.col("parts") > 1).alias("cut"))
+    wanted = spread.join(sets.select(F.col("key").alias("node"), "doc_id", "text_hash"), "node").select("doc_id", "text_hash", F.col("node").alias("key"), others.alias("in_parts"), (F.col("parts") > 1).alias("cut"))
     found = whole_sets(docs, wanted).withColumn("part", F.explode("in_parts"))
     links = written(true_links(found), "links")
     done = links.where("not cut").select(F.col("a").alias("node"), F.col("b").alias("label"))
@@ -452,10 +455,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs less near copies: of each component, the row with the smallest doc_id stays; so do rows without
-    words. Columns stay as they were."""
+    """The rows of docs less near copies: of each component, the row with the smallest doc_id stays (null ids come last); so
+    do rows without words. Columns stay as they were."""
     found = near_copies(docs)
-    keep = found.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash")
+    keep = found.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash")
     keep = keep.withColumn("_once", F.lit(True))
     free = found.where("label is null").select("doc_id", "text_hash").distinct().withColumn("_once", F.lit(False))
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
