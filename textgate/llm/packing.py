@@ -3,7 +3,8 @@
 Documents longer than a row are split without loss; pieces are sorted by length and each goes to the row with the least
 room that still fits, found in a segment tree over capacities. A packed row holds an id matrix row (unsigned 32-bit,
 padded), the cumulative lengths of its pieces and position ids that start anew with each piece. Packing runs in groups of
-pieces of bounded size, dealt by a hash of the document, so rows never depend on an unbounded set.
+pieces of bounded size: what a task reads, up to about GROUP_TOKENS tokens at a time, so rows never depend on an unbounded
+set. Where partitions are small so are groups, and rows are filled less; how full depends on the partition layout.
 """
 
 from __future__ import annotations
