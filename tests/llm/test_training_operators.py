@@ -231,46 +231,101 @@ def test_near_copies_with_null_ids(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in ngram_join.one_of_each(d).collect()) == sorted([(1, rows[0][1]), (0, rows[3][1]), (0, ""), (6, "")])
 
 
-def test_repeats_against_brute_force(spark):
-    r = np.random.default_rng(4)
-    passages = [prose(int(r.integers(30, 90)), 200 + i) for i in range(8)]
-    texts = [" ".join([prose(int(r.integers(5, 60)), 300 + i), passages[int(r.integers(0, 8))], prose(int(r.integers(5, 60)), 600 + i)]) for i in range(60)]
+def brute_repeats(texts, least=50):
+    """Document -> its words that are in a window of an earlier document."""
     first, want = {}, {}
     for i, t in enumerate(texts):
-        w = t.split()
-        for j in range(len(w) - 49):
-            f = first.setdefault(tuple(w[j : j + 50]), i)
+        w = words(t)
+        for j in range(len(w) - least + 1):
+            f = first.setdefault(tuple(w[j : j + least]), i)
             if f != i:
-                want.setdefault(i, set()).update(range(j, j + 50))
-    got = {}
-    for x in suffixes.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect():
+                want.setdefault(i, set()).update(range(j, j + least))
+    return want
+
+
+def check_repeats(spark, texts):
+    """repeats() finds what brute force finds, word by word, and each row is a true match."""
+    got, w = {}, [words(t) for t in texts]
+    for x in suffixes.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)).collect():
+        a, b = w[x.doc_id], w[x.first_doc_id]
+        assert x.first_doc_id < x.doc_id and x.n_words >= 50 and a[x.start_word : x.start_word + x.n_words] == b[x.first_word : x.first_word + x.n_words]
         got.setdefault(x.doc_id, set()).update(range(x.start_word, x.start_word + x.n_words))
-    assert set(got) == set(want) and all(got[i] <= want[i] and len(want[i] - got[i]) <= 3 for i in want)
+    assert got == brute_repeats(texts)
+    return got
+
+
+def test_repeats_against_brute_force(spark):
+    r = np.random.default_rng(4)
+    passages = [prose(int(r.integers(30, 90)), 200 + i) for i in range(8)]
+    check_repeats(spark, [" ".join([prose(int(r.integers(5, 60)), 300 + i), passages[int(r.integers(0, 8))], prose(int(r.integers(5, 60)), 600 + i)]) for i in range(60)])
 
 
 def test_repeats_in_whichever_document(spark):
     """Passages that share a common line, and texts that share different parts with different documents: no word is lost."""
     texts = []
-    for k in range(40):
-        line = prose(30 + k % 19, 5000 + k)
-        around = [prose(11 + k % 4, 5100 + 10 * k + i) for i in range(2)]
-        shared = f"{around[0]} {line} {around[1]}"
-        texts += [f"{prose(20, 6000 + k)} {line} {prose(20, 7000 + k)}", f"{prose(30, 8000 + k)} {shared} {prose(30, 9000 + k)}", f"{prose(25, 10000 + k)} {shared} {prose(25, 11000 + k)}"]
+    for k, (line, both) in enumerate([(49, 55), (45, 61), (40, 80), (30, 52), (48, 51)] * 8):
+        middle, sides = prose(line, 5000 + k), [prose(both - line, 5100 + k).split()[i::2] for i in range(2)]
+        shared = " ".join([*sides[0], middle, *sides[1]])
+        texts += [f"{prose(20, 6000 + k)} {middle} {prose(20, 7000 + k)}", f"{prose(30, 8000 + k)} {shared} {prose(30, 9000 + k)}", f"{prose(25, 10000 + k)} {shared} {prose(25, 11000 + k)}"]
     long = prose(150, 77).split()
     texts += [" ".join(long[:80]) + " " + prose(40, 78), prose(40, 79) + " " + " ".join(long[40:]), " ".join(long)]
-    first, want = {}, {}
-    for i, t in enumerate(texts):
-        w = t.split()
-        for j in range(len(w) - 49):
-            f = first.setdefault(tuple(w[j : j + 50]), i)
-            if f != i:
-                want.setdefault(i, set()).update(range(j, j + 50))
-    got = {}
-    for x in suffixes.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect():
-        a, b = texts[x.doc_id].split(), texts[x.first_doc_id].split()
-        assert x.first_doc_id < x.doc_id and x.n_words >= 50 and a[x.start_word : x.start_word + x.n_words] == b[x.first_word : x.first_word + x.n_words]
-        got.setdefault(x.doc_id, set()).update(range(x.start_word, x.start_word + x.n_words))
-    assert len(want) > 30 and got == want
+    assert len(check_repeats(spark, texts)) > 40
+
+
+def test_repeats_of_hot_passages_over_many_ranges(spark):
+    """Copies of few texts and runs of one word, in more ranges than there are different suffixes: runs go over range edges."""
+    r = np.random.default_rng(12)
+    pool = [prose(60, 70 + i) for i in range(3)] + ["la " * 200, "la " * 130 + prose(55, 80)]
+    texts = [" ".join(pool[int(i)] for i in r.integers(0, 5, int(r.integers(1, 4)))) for _ in range(80)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n, conf in ((97, "false"), (3, "true")):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", conf)
+            check_repeats(spark, texts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_scan_edges_do_not_matter():
+    """However the sorted array is cut in ranges and batches, matches and heads are the same."""
+    r = np.random.default_rng(6)
+    rows = np.array(sorted((int(r.integers(0, 6)), int(r.integers(0, 3)), int(r.integers(0, 5)), 0, i) for i in range(120)))
+
+    def found(cuts, steps):
+        out, edges = [], {}
+        for p, own in enumerate(np.split(rows, cuts)):
+            scan = suffixes.Scan(True)
+            parts = [x for b in range(0, len(own), steps) for x in scan.batch([*own[b : b + steps].T, np.ones(len(own[b : b + steps]), int)])]
+            if len(own):
+                held, edges[p] = scan.end()
+                out += [(p, *(c.item() for c in row)) for x in parts + held for row in zip(*x, strict=True)]
+        over = {p: x for p, *x in suffixes.carried(edges)}
+        matches, heads = [], []
+        for p, head, lead, tail, varied, doc, text, start, _, fdoc, ftext, fstart in out:
+            cdoc, ctext, cstart, before, after = over[p]
+            if lead:
+                fdoc, ftext, fstart = cdoc, ctext, cstart
+            if not head or (doc, text) != (fdoc, ftext):
+                matches.append((doc, start, fdoc, fstart))
+            elif varied or (lead and before) or (tail and after):
+                heads.append((doc, start))
+        return sorted(matches), sorted(heads)
+
+    want = found([], 1000)
+    assert want[0] and want[1]
+    for _ in range(60):
+        cuts = sorted(r.integers(0, 121, int(r.integers(0, 40))).tolist())
+        assert found(cuts, int(r.integers(1, 20))) == want
+
+
+def test_cut_keeps_other_columns(spark):
+    rows = [(i, t, f"x{i}", None) for i, t in enumerate(TEXTS)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, spans string, n_chars int")
+    left = {r.doc_id: r for r in suffixes.without_repeats(d).collect()}
+    assert left[4].text == prose(80, 4) and left[4].spans == "x4" and left[4].n_chars == len(left[4].text) and left[3].n_chars is None
+    assert suffixes.without_repeats(d).columns == d.columns
 
 
 def test_sharding(docs, empty):

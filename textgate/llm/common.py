@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a kernel takes at a time; one longer text goes alone.
@@ -90,7 +91,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], la
     return whole
 
 
-def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, last: Callable[[], None] = lambda: None) -> DataFrame:
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, last: Callable[[], None] = lambda: None) -> DataFrame:
     """df.mapInArrow(run, schema) with batches of bounded bytes, however long the texts, and a tidy end of each task. The
     session's own limit stays if it is lower."""
     name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
