@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from .common import arrow_map, slices, text_buffer
@@ -144,8 +145,8 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, passages: int = PASSAGES) -> ByteConvNet:
-    """Train on at most train_docs documents of each language (the first by a hash of their id) and on passages of
-    WINDOW characters spread over each. Held-out and unlabelled documents and empty texts are left out. Without any
+    """Train on at most train_docs documents of each language (the first by a hash of their id; of a repeated id one row) and
+    on passages of WINDOW characters spread over each, however long the text. Held-out and unlabelled documents and empty texts are left out. Without any
     labelled document the network knows no language and all texts are undetermined."""
     pool = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("_hash")).where(F.col("lang").isNotNull() & ~held_out()).withColumn("_part", F.shiftright("_hash", 52))
     counts = pool.groupBy("lang", "_part").agg(F.count("*").alias("_n"))  # 4096 parts of the hash's range at most
@@ -157,7 +158,8 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, passages: int = PASSAGES)
     n = F.greatest(F.length("text"), F.lit(1))
     cut = [F.substring("text", (1 + F.floor(n * i / passages)).cast("int"), F.lit(WINDOW)) for i in range(passages)]
     kept = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi")  # a bounded list
-    rows = kept.where(F.col("lang").isNotNull()).select("doc_id", "lang", F.array_distinct(F.array(*cut)).alias("cut")).orderBy("doc_id", "lang", "cut").collect()
+    # One row of each id, so that repeated ids don't add to what is collected.
+    rows = kept.where(F.col("lang").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("lang", F.array_distinct(F.array(*cut)).alias("cut"))).alias("r")).orderBy("doc_id").select("r.*").collect()
     pairs = [(t, r.lang) for r in rows for t in (r.cut or []) if t and any(c.isalpha() for c in t)]
     return train([t for t, _ in pairs], [lang for _, lang in pairs])
 
@@ -165,7 +167,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, passages: int = PASSAGES)
 def identify(docs: DataFrame, net: ByteConvNet, keep: list[str] | None = None) -> DataFrame:
     """doc_id (and the columns named in keep), lang_pred and score of each row of docs.
 
-    Reads the whole text and nothing else. Null text, text without a letter, or a network without languages gives
+    Reads the whole text, however long, and nothing else; columns not in keep are ignored, whatever their names. Null text, text without a letter, or a network without languages gives
     ('und', 0.0). Rows keep their number and partitioning; equal texts get equal results.
     """
     keep = keep if keep is not None else ["doc_id"]
@@ -180,20 +182,16 @@ def identify(docs: DataFrame, net: ByteConvNet, keep: list[str] | None = None) -
                 has = np.array(part.column("_letters").to_pylist(), bool) & (p.shape[1] > 0)
                 best = np.where(has, p.argmax(axis=1) if p.shape[1] else 0, len(langs) - 1)
                 score = np.where(has, np.minimum(p.max(axis=1, initial=0), 1.0), 0.0)
-                out = part.select([c for c in part.schema.names if c != "_letters"])
-                if "text" not in keep:
-                    out = out.select(keep)
+                out = part.select(keep)
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.array(langs[best].tolist(), pa.string()), pa.array(score)], [*out.schema.names, "lang_pred", "score"])
 
-    cols = [c for c in docs.columns if c in keep]
-    wide = docs.select(*dict.fromkeys([*cols, "text"]), F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}").alias("_letters"))
-    shown = [f for f in wide.schema.fields if f.name in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [f for f in wide.schema.fields if f.name in (keep if "text" not in keep else [*keep])])
-    assert len(shown) == len(keep)
-    return arrow_map(wide, run, schema + ", lang_pred string, score double")
+    wide = docs.select(*dict.fromkeys([*keep, "text"]), F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}").alias("_letters"))
+    schema = StructType([wide.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double")
+    return arrow_map(wide, run, schema)
 
 
 def accepted(docs: DataFrame, least: float = ACCEPT) -> DataFrame:
-    """The rows of docs whose text has a language with probability `least` at least; all columns as they were."""
-    got = identify(docs.select("doc_id", "text", "lang", "source", "n_chars"), fit(docs), ["doc_id", "text", "lang", "source", "n_chars"])
-    return got.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("doc_id", "text", "lang", "source", "n_chars")
+    """The rows of docs whose text has a language with probability `least` at least; all columns as they were, whatever their
+    names. Null texts and texts without a letter go; an empty table stays empty."""
+    got = identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), fit(docs), ["row"])
+    return got.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")

@@ -100,15 +100,14 @@ def mix(docs: DataFrame, share: float = SHARE, cap: int = CAP) -> DataFrame:
 
 
 def mixed(docs: DataFrame, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """The mix itself: rows of docs, each as often as the mix takes it. Equal rows share what is taken of them evenly."""
-    cols = ["doc_id", "text", "lang", "source", "n_chars"]
+    """The mix itself: rows of docs with all their columns, whatever their names, each as often as the mix takes it. Rows of equal id,
+    source and text share what is taken of them evenly. Empty tables and tables without words give an empty table."""
     taken = mix(docs, share, cap).groupBy("doc_id", "source", "_key").agg(F.sum("times").alias("_times"), F.count("*").alias("_copies")).where("_times > 0")
-    keyed = docs.select(*cols, shuffle_hash().alias("_key"))
-    d, t = keyed.alias("d"), taken.alias("t")
+    d, t = docs.select("doc_id", "source", shuffle_hash().alias("_key"), F.struct(*docs.columns).alias("row")).alias("d"), taken.alias("t")
     joined = d.join(t, (F.col("d._key") == F.col("t._key")) & F.col("d.source").eqNullSafe(F.col("t.source")) & F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")))
-    flat = joined.select(*[F.col(f"d.{c}") for c in cols], F.col("d._key").alias("_key"), "_times", "_copies")
-    single = flat.where("_copies = 1").select(*cols, F.col("_times").alias("_n"))
-    place = F.row_number().over(Window.partitionBy("_key", "doc_id", "source").orderBy("lang"))
+    flat = joined.select("d.*", "t._times", "t._copies")
+    single = flat.where("_copies = 1").select("row", F.col("_times").alias("_n"))
+    place = F.row_number().over(Window.partitionBy("_key", "doc_id", "source").orderBy(F.xxhash64("row")))
     many = flat.where("_copies > 1").withColumn("_place", place)
-    many = many.select(*cols, (F.floor(F.col("_times") / F.col("_copies")) + (F.col("_place") <= F.col("_times") % F.col("_copies")).cast("bigint")).alias("_n"))
-    return single.unionByName(many).where("_n > 0").withColumn("_again", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).select(*cols)
+    many = many.select("row", (F.floor(F.col("_times") / F.col("_copies")) + (F.col("_place") <= F.col("_times") % F.col("_copies")).cast("bigint")).alias("_n"))
+    return single.unionByName(many).where("_n > 0").withColumn("_again", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).select("row.*")

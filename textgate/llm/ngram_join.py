@@ -456,13 +456,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs less near copies: of each component, the row with the smallest doc_id stays (null ids come last); so
-    do rows without words. Columns stay as they were."""
+    do rows without words. All columns stay as they were, whatever their names. Of rows that agree in id and text one stays."""
     found = near_copies(docs)
     keep = found.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash")
     keep = keep.withColumn("_once", F.lit(True))
     free = found.where("label is null").select("doc_id", "text_hash").distinct().withColumn("_once", F.lit(False))
-    cols = ["doc_id", "text", "lang", "source", "n_chars"]
-    d, k = docs.select(*cols, F.xxhash64("text").alias("text_hash")).alias("d"), keep.unionByName(free).alias("k")
+    d, k = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct(*docs.columns).alias("row")).alias("d"), keep.unionByName(free).alias("k")
     left = d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_hash") == F.col("k.text_hash"))).select("d.*", "_once")
-    place = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("source", "lang"))
-    return left.withColumn("_place", place).where("_place = 1 or not _once").select(*cols)
+    place = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.xxhash64("row")))
+    return left.withColumn("_place", place).where("_place = 1 or not _once").select("row.*")

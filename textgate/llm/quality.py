@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffer, words
+from .common import arrow_map, slices, text_buffer, words
 
 WORD_BITS, GRAM_BITS = 18, 15
 N_WEIGHTS = (1 << WORD_BITS) + (1 << GRAM_BITS) + 1
-#: Rated documents that training takes at most (the first by a hash of the id), of at most so many characters each.
-TRAIN_DOCS, TRAIN_CHARS = 5000, 20_000
+#: Rated documents that training takes at most (the first by a hash of the id), and what it reads of each: so many passages of so
+#: many characters, spread evenly from the first to the last (shorter texts whole). 60 MB of characters at most.
+TRAIN_DOCS, PASSAGES, PASSAGE_CHARS = 5000, 6, 2000
+#: Texts whose features are listed at a time in training.
+TRAIN_BLOCK = 64
 GRAM_SCALE, REPEAT_SCALE = 8.0, 4.0
 #: A feature counts in training if so many texts have it.
 LEAST_TEXTS = 8
@@ -91,14 +94,39 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds, -60, 60)))
 
 
+def sparse(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """features() with one entry for each weight of a text, listed block by block: memory is that of the entries (8 bytes each)
+    and of one block's text."""
+    at, value, size = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [np.zeros(1, np.int64)]
+    for i in range(0, len(texts), TRAIN_BLOCK):
+        a, v, bounds = features(*text_buffer(pa.array(texts[i : i + TRAIN_BLOCK], pa.string())))
+        own, back = np.unique(a + N_WEIGHTS * np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), return_inverse=True)
+        at.append((own % N_WEIGHTS).astype(np.int32))
+        value.append(np.bincount(back, v, len(own)).astype(np.float32))
+        size.append(np.bincount(own // N_WEIGHTS, minlength=len(bounds) - 1))
+    return np.concatenate(at), np.concatenate(value), np.cumsum(np.concatenate(size))
+
+
+def gradient(s: np.ndarray, y: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the mean of -log P(grade = y) by the scores s and by the thresholds."""
+    edge = np.concatenate([[-np.inf], thresholds, [np.inf]])
+    hi, lo = edge[y + 1] - s, edge[y] - s
+    cdf = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    fh, fl = np.where(np.isinf(hi), 1.0, cdf(hi)), np.where(np.isinf(lo), 0.0, cdf(lo))
+    p = np.maximum(fh - fl, 1e-9)
+    dh, dl = fh * (1 - fh) / p, fl * (1 - fl) / p  # of log p by the upper and, negated, the lower edge
+    g_edge = np.zeros(len(edge))
+    np.add.at(g_edge, y + 1, -dh / len(y))
+    np.add.at(g_edge, y, dl / len(y))
+    return (dh - dl) / len(y), g_edge[1:-1]
+
+
 def train(texts: list[str], grades: list[int], epochs: int = 12, rate: float = 0.15, batch: int = 64, decay: float = 1e-6, seed: int = 11) -> OrdinalModel:
     """Maximum likelihood by Adagrad. Thresholds are the first plus sums of exponentials, so they stay ordered."""
     top = max([*grades, 1])
-    column = pa.array(texts, pa.string())
-    at, value, bounds = features(*text_buffer(column))
+    at, value, bounds = sparse(texts)
     y = np.array(grades, np.int64)
-    spread = np.bincount(np.unique(at + N_WEIGHTS * np.repeat(np.arange(len(y)), np.diff(bounds))) % N_WEIGHTS, minlength=N_WEIGHTS)
-    value = np.where(spread[at] >= LEAST_TEXTS, value, 0).astype(np.float32)  # what few texts have would be learnt by heart
+    value[np.bincount(at, minlength=N_WEIGHTS)[at] < LEAST_TEXTS] = 0  # what few texts have would be learnt by heart
     w, squares = np.zeros(N_WEIGHTS), np.full(N_WEIGHTS, 1e-3)
     first, gaps, t_squares = -1.0, np.zeros(top - 1), np.full(top, 1e-3)
     rng = np.random.default_rng(seed)
@@ -109,17 +137,7 @@ def train(texts: list[str], grades: list[int], epochs: int = 12, rate: float = 0
             sel, size = np.concatenate(ranges), np.array([len(r) for r in ranges])
             a, v = at[sel], value[sel]
             s = sums(w[a] * v, np.append(0, np.cumsum(size)))
-            edge = np.concatenate([[-np.inf], ordered(), [np.inf]])
-            hi, lo = edge[y[some] + 1] - s, edge[y[some]] - s
-            cdf = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-            fh, fl = np.where(np.isinf(hi), 1.0, cdf(hi)), np.where(np.isinf(lo), 0.0, cdf(lo))
-            p = np.maximum(fh - fl, 1e-9)
-            dh, dl = fh * (1 - fh) / p, fl * (1 - fl) / p  # of log p by the upper and, negated, the lower edge
-            g_s = (dh - dl) / len(some)  # of -log p by the score
-            g_edge = np.zeros(top + 2)
-            np.add.at(g_edge, y[some] + 1, -dh / len(some))
-            np.add.at(g_edge, y[some], dl / len(some))
-            g_t = g_edge[1:-1]
+            g_s, g_t = gradient(s, y[some], ordered())
             tail = np.cumsum(g_t[::-1])[::-1]
             g_par = np.concatenate([[tail[0]], tail[1:] * np.exp(gaps)])
             u, back = np.unique(a, return_inverse=True)
@@ -138,19 +156,31 @@ def grade(quality: str = "quality", toxic: str = "toxic") -> F.Column:
     return F.when(F.col(toxic) == 1, F.lit(0)).otherwise(F.lit(1) + (F.col(quality) > 0).cast("int"))
 
 
+def passages(text: str = "text") -> F.Column:
+    """What training reads of a text: its PASSAGES passages of PASSAGE_CHARS characters with a blank line between, or the
+    whole text if it isn't longer than they are."""
+    n = F.length(text)
+    step = lambda i: (1 + F.floor((n - PASSAGE_CHARS) * i / (PASSAGES - 1))).cast("int")
+    cut = F.concat_ws("\n\n", *[F.substring(F.col(text), step(i), F.lit(PASSAGE_CHARS)) for i in range(PASSAGES)])
+    return F.when(n <= PASSAGES * PASSAGE_CHARS, F.col(text)).otherwise(cut)
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> OrdinalModel:
-    """Train on at most train_docs rated documents, by a hash of doc_id. A document rated repeatedly counts with its
-    lowest grade. Without any rating all scores are 0."""
+    """Train on at most train_docs rated documents, by a hash of doc_id: a bounded list of bounded texts, whatever the table's size.
+    A document rated repeatedly counts with its lowest grade; of rows with one id the first text counts. Long texts count by their
+    passages(); null texts and null ids are left out. Without any rating all scores are 0."""
     rated = labels.select("doc_id", grade().alias("grade")).where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     some = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    rows = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(some), "doc_id").orderBy("doc_id", "text").collect()
+    read = docs.select("doc_id", passages().alias("text")).where("text is not null").join(F.broadcast(some), "doc_id")
+    rows = read.groupBy("doc_id").agg(F.min(F.struct("text", "grade")).alias("r")).orderBy("doc_id").select("r.*").collect()
     return train([r.text for r in rows], [r.grade for r in rows])
 
 
 def score(docs: DataFrame, model: OrdinalModel, wanted: int = 2, least: float = 0.5) -> DataFrame:
     """doc_id, expected_grade, tail_prob = P(grade >= wanted), selected (tail_prob >= least) of each row of docs.
 
-    Null and empty texts are never selected: grade 0.0, probability 0.0. Rows keep their number; equal texts score alike.
+    Null and empty texts are never selected: grade 0.0, probability 0.0. Rows keep their number, repeated ids too; equal texts
+    score alike. Texts are scored whole, however long; other columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -163,4 +193,4 @@ def score(docs: DataFrame, model: OrdinalModel, wanted: int = 2, least: float =
                 tail = above[:, wanted - 1] if wanted <= above.shape[1] else np.zeros(len(above))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(above.sum(axis=1)), pa.array(tail), pa.array(tail >= least)], ["doc_id", "expected_grade", "tail_prob", "selected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, expected_grade double, tail_prob double, selected boolean")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, expected_grade double, tail_prob double, selected boolean")
