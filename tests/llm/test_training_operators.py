@@ -165,7 +165,68 @@ def test_fingerprint_is_homomorphic(spark):
     f = {r.k: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "k string, text string"), "k").collect()}
     assert (f["a"].identity, f["a"].lanes) == (f["b"].identity, f["b"].lanes)
     assert [(x + y) % (1 << 32) for x, y in zip(f["p"].identity, f["q"].identity, strict=True)] == f["a"].identity
-    assert [x + y for x, y in zip(f["p"].lanes, f["q"].lanes, strict=True)] == f["a"].lanes
+    sums = spark.createDataFrame([(f["p"].lanes, f["q"].lanes, f["a"].lanes)], "p array<bigint>, q array<bigint>, a array<bigint>")
+    got = sums.select(fingerprint.plus(F.col("p"), F.col("q")), fingerprint.plus(F.col("a"), F.col("q"), -1)).first()
+    assert list(got) == [f["a"].lanes, f["p"].lanes]
+
+
+def brute_fingerprint(spark, texts):
+    """(identity, single lanes modulo 2^21, pieces) of each text by plain sums; only the hash function is Spark's."""
+    sets = [[(0, p) for p in t.split("\n")] + [(1, " ".join(m)) for m in re.findall(r"\S+(?:[^\S\n]+\S+){0,3}", t) for m in [[m]]] for t in texts]
+    names = sorted({x for s in sets for x in s})
+    salts = [0, 1, -1, -2]
+    hashed = spark.createDataFrame(names, "kind int, s string").select("kind", "s", *[F.xxhash64("s", F.lit(i)).alias(f"h{k}") for k, i in enumerate(salts)]).collect()
+    h = {(r.kind, r.s): [x % (1 << 64) for x in (r.h0, r.h1, r.h2, r.h3)] for r in hashed}
+    out = []
+    for s in sets:
+        own = [h[x][:2] for x in s if x[0] == 0]
+        identity = [sum((g[i] >> 32 * half) & 0xFFFFFFFF for g in own) % (1 << 32) for i in range(2) for half in range(2)]
+        pieces = [h[x][2:] for x in s if x[0] == 1]
+        lanes = [[sum((g[i] >> (j + 21 * k)) & 1 for g in pieces) % (1 << 21) for k in range(3)] for i in range(2) for j in range(21)]
+        out.append((identity, lanes, len(pieces)))
+    return out
+
+
+def test_fingerprint_against_brute_force(spark, monkeypatch):
+    texts = [TEXTS[3] + "\n" + TEXTS[2], TEXTS[10], "", "a\n\nb c d e f\ta", PASSAGE]
+    want = brute_fingerprint(spark, texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for part in (1 << 20, 7):
+        monkeypatch.setattr(fingerprint, "PART", part)
+        got = sorted(fingerprint.fingerprints(d).collect(), key=lambda r: r.doc_id)
+        for r, (identity, lanes, pieces) in zip(got, want, strict=True):
+            assert r.identity == identity and r.pieces == pieces
+            assert [[(x >> 21 * k) & 0x1FFFFF for k in range(3)] for x in r.lanes] == lanes
+        rows = sorted(fingerprint.with_edits(d).collect(), key=lambda r: r.doc_id)
+        sums = [np.array([2 * x - n for w in lanes for x in w], float) for _, lanes, n in want]
+        for i, r in enumerate(rows):
+            a, b = sums[i], sums[(i + 1) % len(rows)]
+            norm = np.sqrt((a @ a) * (b @ b))
+            assert abs(r.near_next - (max(0.0, a @ b / norm) if norm else 0.0)) < 1e-9
+            assert r.fingerprint == "".join(f"{x:08x}" for x in want[i][0]) + "".join(f"{sum(v << 21 * k for k, v in enumerate(w)):016x}" for w in want[i][1])
+
+
+def test_fingerprint_of_millions_of_pieces(spark):
+    """Over 2^22 pieces under one key: lanes are reduced, not carried into each other; adding halves gives the whole."""
+    n = 2_600_000
+    rows = spark.range(2).select(F.expr("'whole'").alias("k"), F.expr(f"repeat(concat('w', id, '\n'), {n})").alias("text"))
+    halves = spark.range(2).select(F.concat(F.lit("half"), F.col("id")).alias("k"), F.expr(f"repeat(concat('w', id, '\n'), {n})").alias("text"))
+    f = {r.k: r for r in fingerprint.fingerprints(rows.unionByName(halves), "k").collect()}
+    assert f["whole"].pieces == 2 * n and all(0 <= x < 1 << 63 for x in f["whole"].lanes)
+    one = {r.k: r for r in fingerprint.fingerprints(spark.createDataFrame([("a", "w0"), ("b", "w1")], "k string, text string"), "k").collect()}
+    for x, a, b in zip(f["whole"].lanes, one["a"].lanes, one["b"].lanes, strict=True):
+        for k in range(3):
+            bit = lambda v, k=k: (v >> 21 * k) & 0x1FFFFF
+            assert bit(x) == n * (bit(a) + bit(b)) % (1 << 21)
+    sums = spark.createDataFrame([(f["half0"].lanes, f["half1"].lanes)], "p array<bigint>, q array<bigint>")
+    assert sums.select(fingerprint.plus(F.col("p"), F.col("q"))).first()[0] == f["whole"].lanes
+
+
+def test_fingerprint_with_null_and_repeated_ids(spark):
+    rows = [(None, "x y"), (None, None), (5, "b\nc"), (5, "a"), (5, "a")]
+    got = fingerprint.with_edits(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == [(0, 0), (0, 3), (5, 1), (5, 1), (5, 3)]
+    assert sorted(r.near_next for r in got if r.doc_id == 5 and r.n_chars == 1)[1] == 1.0
 
 
 def brute_components(rows):
