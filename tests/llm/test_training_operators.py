@@ -206,20 +206,19 @@ def test_fingerprint_against_brute_force(spark, monkeypatch):
             assert r.fingerprint == "".join(f"{x:08x}" for x in want[i][0]) + "".join(f"{sum(v << 21 * k for k, v in enumerate(w)):016x}" for w in want[i][1])
 
 
-def test_fingerprint_of_millions_of_pieces(spark):
-    """Over 2^22 pieces under one key: lanes are reduced, not carried into each other; adding halves gives the whole."""
-    n = 2_600_000
-    rows = spark.range(2).select(F.expr("'whole'").alias("k"), F.expr(f"repeat(concat('w', id, '\n'), {n})").alias("text"))
-    halves = spark.range(2).select(F.concat(F.lit("half"), F.col("id")).alias("k"), F.expr(f"repeat(concat('w', id, '\n'), {n})").alias("text"))
-    f = {r.k: r for r in fingerprint.fingerprints(rows.unionByName(halves), "k").collect()}
-    assert f["whole"].pieces == 2 * n and all(0 <= x < 1 << 63 for x in f["whole"].lanes)
-    one = {r.k: r for r in fingerprint.fingerprints(spark.createDataFrame([("a", "w0"), ("b", "w1")], "k string, text string"), "k").collect()}
-    for x, a, b in zip(f["whole"].lanes, one["a"].lanes, one["b"].lanes, strict=True):
-        for k in range(3):
-            bit = lambda v, k=k: (v >> 21 * k) & 0x1FFFFF
-            assert bit(x) == n * (bit(a) + bit(b)) % (1 << 21)
-    sums = spark.createDataFrame([(f["half0"].lanes, f["half1"].lanes)], "p array<bigint>, q array<bigint>")
-    assert sums.select(fingerprint.plus(F.col("p"), F.col("q"))).first()[0] == f["whole"].lanes
+def test_fingerprint_of_millions_of_pieces(spark, monkeypatch):
+    """Lanes are reduced, not carried into each other: 6 million pieces under one key, and a text in parts of 1000 units."""
+    r = np.random.default_rng(17)
+    single = r.integers(0, 1 << 20, (60, 126))
+    pack = lambda v: [int(v[3 * k] + (v[3 * k + 1] << 21) + (v[3 * k + 2] << 42)) for k in range(42)]
+    rows = [("a", [int(x) for x in r.integers(0, 1 << 32, 4)], pack(v.tolist()), 100_000) for v in single]
+    got = fingerprint.added(spark.createDataFrame(rows, "k string, identity array<bigint>, lanes array<bigint>, pieces bigint"), "k").first()
+    assert got.pieces == 6_000_000 and got.lanes == pack((single.sum(axis=0) % (1 << 21)).tolist())
+    assert got.identity == [sum(x[1][i] for x in rows) % (1 << 32) for i in range(4)]
+    text = spark.createDataFrame([("a", "w0\n" * 20_000 + "w1")], "k string, text string")
+    whole = fingerprint.fingerprints(text, "k").first()
+    monkeypatch.setattr(fingerprint, "PART", 1000)
+    assert fingerprint.fingerprints(text, "k").first() == whole and whole.pieces == 20_001
 
 
 def test_fingerprint_with_null_and_repeated_ids(spark):

@@ -12,7 +12,7 @@ paragraphs can be put in or taken out by adding or subtracting their vectors. Th
 * the number of pieces.
 
 Sums are taken in two steps, so that packed lanes never run into each other: plain sums over parts of at most PART units,
-in which no lane can reach 2^21, then sums of the single lanes over parts, reduced modulo 2^21.
+in which no lane can reach 2^21, then sums of the parts lane by lane modulo 2^21.
 """
 
 from __future__ import annotations
@@ -54,11 +54,24 @@ def summed(rows: DataFrame, keys: list[str], parts: list[str]) -> DataFrame:
     identity = [f(F.col(f"g{i}")) for i in range(2) for f in (lambda g: g.bitwiseAND(F.lit(_LOW32)), lambda g: F.shiftrightunsigned(g, 32))]
     lanes = [F.shiftrightunsigned(F.col(f"h{i}"), j).bitwiseAND(F.lit(_ONE_EACH)) for i in range(HASHES) for j in range(21)]
     packed = wide.groupBy(*keys, *parts).agg(*[F.sum(c).alias(f"i{k}") for k, c in enumerate(identity)], *[F.sum(c).alias(f"l{k}") for k, c in enumerate(lanes)], F.sum("kind").alias("pieces"))
-    lane = lambda k, j: F.shiftrightunsigned(F.col(f"l{k}"), 21 * j).bitwiseAND(F.lit(_LOW21))
-    single = [F.sum(lane(k, j)).alias(f"l{k}_{j}") for k in range(len(lanes)) for j in range(3)]
-    sums = packed.groupBy(*keys).agg(*[F.sum(F.col(f"i{k}").bitwiseAND(F.lit(_LOW32))).alias(f"i{k}") for k in range(len(identity))], *single, F.sum("pieces").alias("pieces"))
+    vector = F.struct(F.array(*[F.col(f"i{k}").bitwiseAND(F.lit(_LOW32)) for k in range(len(identity))]).alias("identity"), F.array(*[F.col(f"l{k}") for k in range(len(lanes))]).alias("lanes"), "pieces")
+    listed = packed.groupBy(*keys).agg(F.collect_list(vector).alias("v"))  # a row of each part: one, but for very long texts
+    rest = F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0)))
+    whole = F.when(F.size("v") == 1, F.col("v")[0]).otherwise(F.aggregate(rest, F.col("v")[0], _added))
+    return listed.select(*keys, whole.alias("v")).select(*keys, "v.identity", "v.lanes", "v.pieces")
+
+
+def _added(a: Column, x: Column) -> Column:
+    return F.struct(identity_plus(a["identity"], x["identity"]).alias("identity"), plus(a["lanes"], x["lanes"]).alias("lanes"), (a["pieces"] + x["pieces"]).alias("pieces"))
+
+
+def added(vectors: DataFrame, *keys: str) -> DataFrame:
+    """keys, identity, lanes, pieces: the sums of any number of fingerprints of each key, lane by lane and without listing them."""
+    lane = lambda k, j: F.shiftrightunsigned(F.col("lanes")[k], 21 * j).bitwiseAND(F.lit(_LOW21))
+    words = range(21 * HASHES)
+    sums = vectors.groupBy(*keys).agg(*[F.sum(F.col("identity")[k]).alias(f"i{k}") for k in range(4)], *[F.sum(lane(k, j)).alias(f"l{k}_{j}") for k in words for j in range(3)], F.sum("pieces").alias("pieces"))
     pack = lambda k: sum((F.shiftleft(F.col(f"l{k}_{j}").bitwiseAND(F.lit(_LOW21)), 21 * j) for j in (1, 2)), F.col(f"l{k}_0").bitwiseAND(F.lit(_LOW21)))
-    return sums.select(*keys, F.array(*[F.col(f"i{k}").bitwiseAND(F.lit(_LOW32)) for k in range(len(identity))]).alias("identity"), F.array(*[pack(k) for k in range(len(lanes))]).alias("lanes"), "pieces")
+    return sums.select(*keys, F.array(*[F.col(f"i{k}").bitwiseAND(F.lit(_LOW32)) for k in range(4)]).alias("identity"), F.array(*[pack(k) for k in words]).alias("lanes"), "pieces")
 
 
 def shown(identity: Column, lanes: Column) -> Column:
@@ -97,7 +110,7 @@ def likeness(same: Column, a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, identity, lanes, pieces of each key's paragraphs (rows with the same key add up, as multisets do)."""
     rows = docs.select(F.col(key), F.monotonically_increasing_id().alias("_row"), F.posexplode(units(F.col(text))).alias("_at", "u"))
-    return summed(rows.select(key, "_row", F.floor(F.col("_at") / PART).alias("_part"), "u.kind", "u.s"), [key], ["_row", "_part"])
+    return added(summed(rows.select(key, "_row", F.floor(F.col("_at") / PART).alias("_part"), "u.kind", "u.s"), [key, "_row"], ["_part"]), key)
 
 
 def _numbers(values: list[int]) -> Column:
