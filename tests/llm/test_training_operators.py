@@ -263,9 +263,67 @@ def test_near_copies(docs, empty, spark, monkeypatch):
         for _ in range(12):
             w[int(r.integers(0, 60))] = str(r.choice(VOCAB))
             rows.append((len(rows), PASSAGE[:200] + " " + " ".join(w)))
-    monkeypatch.setattr(ngram_join, "PART", 5)  # cut blocks and groups as if they were large
-    made = ngram_join.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    assert {(x.doc_id, x.n_shingles, x.component_id) for x in made.collect()} == brute_components(rows)
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for block, part, hubs, rest in ((512, 256, 16, 2048), (2, 3, 1, 2)):  # cut blocks and groups as if they were large
+        for name, value in (("BLOCK", block), ("PART", part), ("HUBS", hubs), ("REST_PART", rest)):
+            monkeypatch.setattr(ngram_join, name, value)
+        assert {(x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.near_copies(d).collect()} == brute_components(rows)
+
+
+def test_blocks_do_not_depend_on_ranges():
+    """However postings are cut in ranges and batches, sets that share a shingle are connected by blocks and stars."""
+    r = np.random.default_rng(21)
+    rows = np.array(sorted((int(r.integers(0, 9)) ** 2 // 8, int(r.integers(5, 9)), int(r.integers(0, 60))) for _ in range(150)))
+
+    def joined(cuts, steps):
+        up = {int(k): int(k) for k in rows[:, 2]}
+
+        def find(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        edges = []
+        for p, own in enumerate(np.split(rows, cuts)):
+            reader, stars = ngram_join.BlockReader(), []
+            for b in range(0, len(own), steps):
+                x = own[b : b + steps]
+                blocks, more = reader.add(x[:, 0], x[:, 2], x[:, 1])
+                stars += more + [(k, int(k[0])) for _, k, _ in blocks]
+            if len(own):
+                more, edge = reader.end()
+                stars += more
+                edges.append([p, *edge])
+            for keys, hub in stars:
+                for k in keys.tolist():
+                    up[find(k)] = find(hub)
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a[3] == b[1]:
+                up[find(a[4])] = find(b[2])
+        return {frozenset(k for k in up if find(k) == x) for x in map(find, up)}
+
+    want = joined([], 1000)
+    for _ in range(60):
+        assert joined(sorted(r.integers(0, 151, int(r.integers(0, 20))).tolist()), int(r.integers(1, 30))) == want
+
+
+def test_large_group_costs_its_number(spark, monkeypatch):
+    """A group of 2,000 near copies: parts hold a copy of each set and of the hubs, not pairs of parts."""
+    r = np.random.default_rng(31)
+    base = prose(150, 41).split()
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for at in r.integers(0, 150, int(r.integers(0, 4))):
+            w[int(at)] = str(r.choice(VOCAB))
+        rows.append((i, " ".join(w)))
+    seen = []
+    whole = ngram_join.true_links
+    monkeypatch.setattr(ngram_join, "true_links", lambda sets: (seen.append(sets.count()), whole(sets))[1])
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = ngram_join.near_copies(d).collect()
+    assert len(got) == 2000 and {x.component_id for x in got} == {0}
+    assert seen and sum(seen) < 2 * 2000
 
 
 def test_repeats(docs, empty):

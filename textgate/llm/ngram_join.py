@@ -3,16 +3,21 @@
 1. profiles(): each text's shingle set as size, 64-bit key (equal sets have equal keys, so copies are one member from here
    on) and bitmap. Common shingles of a batch are counted along the way.
 2. postings(): two sets of Jaccard 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each, in any fixed order of
-   shingles. The order is by hash, with common shingles last; it affects speed only. Shingles that one set alone has are
-   dropped where they meet; the members of each remaining shingle are a block, and equal blocks are one.
+   shingles. The order is by hash, with common shingles last; it affects speed only. Postings are sorted in ranges by
+   (shingle, size, set), which split a frequent shingle, and read as streams. The sets of a shingle are a block; those that one
+   set alone has are dropped, equal blocks are one. A block of more than BLOCK sets, or over a range's edge, is a star of
+   candidate links instead: more candidates, none lost.
 3. In each block a signature tree (nodes hold the OR of their members' bitmaps, a size range and the fewest bits) is
    traversed against itself; node pairs whose maximum possible overlap is too small are pruned, as are those that are
-   already connected. This leaves a forest of candidate links, whose components are small groups.
-4. Each group's whole shingle sets meet in one task (a large group: in tasks for pairs of its parts) and the same
-   traversal, now with exact intersections at the leaves, gives the true links' forest and so the components.
+   already connected. This leaves a forest of candidate links, whose components are groups.
+4. Each group's whole shingle sets meet in one task and the same traversal, now with exact intersections at the leaves, gives the
+   true links' forest and so the components. A group of more than 2 * PART sets is dealt in parts of PART, with HUBS of its
+   sets in each; what they don't connect with the group's largest component (REST) then meets all of the group in
+   parts of REST_PART. Copies of one text so cost what their number does; only sets that are linked with no hub cost their
+   number times that of the parts.
 
 Shingles and sets are compared by 64-bit hashes. No table of documents or links is collected or broadcast; what is
-broadcast are the COMMON most frequent shingles.
+broadcast are the COMMON most frequent shingles, and what is collected are those and a row of each range.
 """
 
 from __future__ import annotations
@@ -32,8 +37,10 @@ from .common import arrow_map, discard, gathered, mix, shingles, slices, text_bu
 COMMON_SHARE, COMMON = 1 / 1024, 1 << 18
 #: Text bytes whose shingles are counted together.
 COUNT_BYTES = 16_000_000
-#: Members of a block or group that one task compares; larger ones are cut into parts and pairs of parts.
-PART = 2048
+#: Members of a block that are compared by their bitmaps.
+BLOCK = 512
+#: Members of a part of a large group, of those that are in each of its parts, and of a part that meets the rest.
+PART, HUBS, REST_PART = 256, 16, 2048
 LEAF = 8
 
 
@@ -151,47 +158,102 @@ def grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def part_pairs(smallest: list[int], largest: list[int]) -> list[tuple[int, int]]:
-    """Pairs of parts (in order of size) that may hold linked members; each part is in one pair at least."""
-    n = len(smallest)
-    out = [(i, j) for i in range(n) for j in range(i + 1, n) if 4 * smallest[j] <= 5 * largest[i]]
-    alone = set(range(n)).difference(x for p in out for x in p)
-    return out + [(i, i) for i in sorted(alone)]
+class BlockReader:
+    """Reads postings (shingle, key, n) in order of shingle, n and key; memory: a batch and BLOCK postings.
+
+    What it gives: blocks, as (name, keys, sizes), and stars, as (keys, hub). Shingles at the edges of a range are stars, as their
+    other postings may be in the next range.
+    """
+
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
+        self.first: list[int] | None = None  # shingle and hub of the range's first shingle
+        self.shingle: int | None = None
+        self.hub, self.large, self.keys, self.sizes = 0, False, [], []
+
+    def add(self, shingle: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[list, list]:
+        blocks: list[tuple[int, np.ndarray, np.ndarray]] = []
+        stars: list[tuple[np.ndarray, int]] = []
+        fresh = np.append([True], (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1]))
+        shingle, key, n = shingle[fresh], key[fresh], n[fresh]
+        begin = np.flatnonzero(np.append([True], shingle[1:] != shingle[:-1]))
+        ends = np.append(begin[1:], len(shingle))
+        some = ends - begin > 1  # one posting is no block, but the first and last may go on in other batches
+        some[[0, -1]] = True
+        begin, ends = begin[some], ends[some]
+        for a, b in zip(begin.tolist(), ends.tolist(), strict=True):
+            if self.shingle != int(shingle[a]):
+                self.close(blocks)
+                self.shingle, self.hub, self.keys, self.sizes = int(shingle[a]), int(key[a]), [], []
+                self.large = self.first is None
+                if self.first is None:
+                    self.first = [self.shingle, self.hub]
+            if self.large:
+                stars.append((key[a:b], self.hub))
+                continue
+            self.keys.append(key[a:b])
+            self.sizes.append(n[a:b])
+            if sum(map(len, self.keys)) > BLOCK:
+                stars += [(k, self.hub) for k in self.keys]
+                self.large, self.keys, self.sizes = True, [], []
+        return blocks, stars
+
+    def close(self, blocks: list) -> None:
+        """The block of the shingle that has ended."""
+        if self.large or not self.keys:
+            return
+        keys, sizes = np.concatenate(self.keys), np.concatenate(self.sizes)
+        once = np.append([True], keys[1:] != keys[:-1])
+        keys, sizes = keys[once], sizes[once]
+        name = int(mix(keys.view(np.uint64)).sum())
+        if len(keys) > 1 and name not in self.seen:
+            if len(self.seen) > 1_000_000:
+                self.seen.clear()
+            self.seen.add(name)
+            blocks.append((name, keys, sizes))
+
+    def end(self) -> tuple[list, list[int]]:
+        """(stars of the last shingle, the first shingle and its hub, the last shingle and its hub)."""
+        return [(k, self.hub) for k in self.keys], [*self.first, self.shingle, self.hub]
 
 
 def blocks(posted: DataFrame) -> DataFrame:
-    """block, key, n: the members of each shingle that two sets or more have; equal blocks once. Rows of one shingle are
-    sorted and read in a stream; a block of more than 2 * PART members is cut by size into pairs of parts."""
+    """block, key, n, hub, edge, as a written table: members of blocks (hub null), spokes of stars (block null), and one row a range with
+    its edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for table in grouped(batches, "shingle"):
-            shingle, key, n = (table.column(c).to_numpy() for c in ("shingle", "key", "n"))
-            fresh = np.append([True], (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1]))
-            shingle, key, n = shingle[fresh], key[fresh], n[fresh]
-            first = np.flatnonzero(np.append([True], shingle[1:] != shingle[:-1]))
-            size = np.diff(np.append(first, len(shingle)))
-            name = np.add.reduceat(mix(key.view(np.uint64)), first)
-            out: list[tuple[int, np.ndarray]] = []
-            for f, s, x in zip(first[size > 1].tolist(), size[size > 1].tolist(), name[size > 1].tolist(), strict=True):
-                if x in seen:
-                    continue
-                seen.add(x)
-                if s <= 2 * PART:
-                    out.append((x, np.arange(f, f + s)))
-                    continue
-                parts = [np.arange(i, min(i + PART, f + s)) for i in range(f, f + s, PART)]
-                for i, j in part_pairs([int(n[p[0]]) for p in parts], [int(n[p[-1]]) for p in parts]):
-                    out.append(((x + 0x9E3779B97F4A7C15 * (i * len(parts) + j + 1)) % (1 << 64), np.concatenate([parts[i], parts[j]]) if i < j else parts[i]))
-            if len(seen) > 1_000_000:
-                seen.clear()
-            if out:
-                at = np.concatenate([r for _, r in out])
-                block = np.repeat(np.array([x for x, _ in out], np.uint64).view(np.int64), [len(r) for _, r in out])
-                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(key[at]), pa.array(n[at])], ["block", "key", "n"])
-
-    together = posted.repartition("shingle").sortWithinPartitions("shingle", "n", "key")
-    return arrow_map(together, run, "block bigint, key bigint, n int").dropDuplicates(["block", "key"])
+        reader, part = BlockReader(), 0
+        names, kinds = ["block", "key", "n", "hub", "edge"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+
+        def shown(found: list, stars: list) -> Iterator[pa.RecordBatch]:
+            if found:
+                key = np.concatenate([k for _, k, _ in found])
+                block = np.repeat(np.array([x for x, _, _ in found], np.uint64).view(np.int64), [len(k) for _, k, _ in found])
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(key), pa.array(np.concatenate([n for _, _, n in found]), pa.int32()), *[pa.nulls(len(key), k) for k in kinds[3:]]], names)
+            pairs = [(k[k != h], h) for k, h in stars]
+            key = np.concatenate([k for k, _ in pairs]) if pairs else np.zeros(0, np.int64)
+            if len(key):
+                hub = np.repeat(np.array([h for _, h in pairs], np.int64), [len(k) for k, _ in pairs])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(key), kinds[0]), pa.array(key), pa.nulls(len(key), kinds[2]), pa.array(hub), pa.nulls(len(key), kinds[4])], names)
+
+        for batch in batches:
+            if batch.num_rows:
+                part = batch.column("part")[0].as_py()
+                yield from shown(*reader.add(*(batch.column(c).to_numpy() for c in ("shingle", "key", "n"))))
+        if reader.first:
+            stars, edge = reader.end()
+            yield from shown([], stars)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, k) for k in kinds[:4]], pa.array([[part, *edge]], kinds[4])], names)
+
+    order = ["shingle", "n", "key"]
+    ranged = posted.repartitionByRange(*order).sortWithinPartitions(*order).select("shingle", "key", "n", F.spark_partition_id().alias("part"))
+    return written(arrow_map(ranged, run, "block bigint, key bigint, n int, hub bigint, edge array<bigint>"), "blocks")
+
+
+def over_edges(found: DataFrame) -> list[tuple[int, int]]:
+    """Links of the hubs of a shingle that goes on from range to range."""
+    edges = sorted(list(r.edge) for r in found.where("edge is not null").select("edge").collect())  # one row a range
+    return [(b[2], a[4]) for a, b in zip(edges, edges[1:], strict=False) if a[3] == b[1] and b[2] != a[4]]
 
 
 class Forest:
@@ -236,9 +298,9 @@ class Node:
         self.whole = -1  # a member, once all are known to be connected
 
 
-def signature_tree(sizes: list[int], maps: list[tuple[int, int]]) -> Node:
-    """A binary tree over members in order of size."""
-    level = [Node(range(i, min(i + LEAF, len(sizes))), (), sizes, maps) for i in range(0, len(sizes), LEAF)]
+def signature_tree(sizes: list[int], maps: list[tuple[int, int]], members: range) -> Node:
+    """A binary tree over members that are in order of size."""
+    level = [Node(members[i : i + LEAF], (), sizes, maps) for i in range(0, len(members), LEAF)]
     while len(level) > 1:
         level = [Node(range(p[0].members[0], p[-1].members[-1] + 1), tuple(p), sizes, maps) if len(p) > 1 else p[0] for p in (level[i : i + 2] for i in range(0, len(level), 2))]
     return level[0]
@@ -261,13 +323,23 @@ def may_link(a_bits: int, a_wide: int, a_few: int, a_small: int, a_large: int, b
     return 9 * most >= 4 * (a_small + b_small)
 
 
-def connect(sizes: list[int], maps: list[bytes], exact: Callable[[int, int], bool] | None = None) -> Forest:
+def connect(sizes: list[int], maps: list[bytes], exact: Callable[[int, int], bool] | None = None, known: list[int | None] = (), own: int | None = None, inner: bool = True) -> Forest:
     """Dual traversal of the members' signature tree (members in order of size): joins all pairs that may link or, if an
-    exact test is given, that do. Pairs that are connected already need no test."""
+    exact test is given, that do. Pairs that are connected already need no test: members of one `known` component, or by links found.
+
+    own: members from here on are guests, in a tree of their own; they are compared with the others but not with each other, and
+    the others with each other only if `inner` is set.
+    """
     ints = [(int.from_bytes(m, "little"), 8 * len(m)) for m in maps]
     bits = [x.bit_count() for x, _ in ints]
-    forest, root = Forest(len(sizes)), signature_tree(sizes, ints)
+    forest = Forest(len(sizes))
+    own = len(sizes) if own is None else own
+    root = signature_tree(sizes, ints, range(own)) if own else None
     find = forest.find
+    heads: dict[int, int] = {}
+    for i, k in enumerate(known):
+        if k is not None:
+            forest.join(heads.setdefault(k, i), i)
 
     def whole(x: Node) -> int:
         if x.whole < 0:
@@ -285,7 +357,9 @@ def connect(sizes: list[int], maps: list[bytes], exact: Callable[[int, int], boo
             if may_link(x, v, bits[i], sizes[i], sizes[i], y, w, bits[j], sizes[j], sizes[j], True) and (exact is None or exact(i, j)):
                 forest.join(i, j)
 
-    todo = [(root, root)]
+    todo = [(root, root)] if root and inner else []
+    if root and own < len(sizes):
+        todo.append((root, signature_tree(sizes, ints, range(own, len(sizes)))))
     while todo:
         a, b = todo.pop()
         wa, wb = whole(a), whole(b)
@@ -343,7 +417,8 @@ def candidate_links(members: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the component's smallest node) of each node of the edges (a, b), by alternating large and small stars.
 
-    Every round halves paths at least; each is a written table. Only counts and checksums come to the driver.
+    Every round halves paths at least; each is a written table, of which the last remains (discard() takes the result). Only counts
+    and checksums come to the driver.
     """
     stars = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     before = None
@@ -360,7 +435,9 @@ def components(edges: DataFrame) -> DataFrame:
         last, stars = stars, written(small.unionByName(own.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "stars")
         discard(last)
     named = stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return named.unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    out = named.unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    out.written_to = stars.written_to
+    return out
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -383,64 +460,115 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def true_links(sets: DataFrame) -> DataFrame:
-    """a, b, cut: the exact links' forest in each part, of (grp, part, cut, key, n, bits, shingles)."""
+    """a, b, cut: the exact links' forest in each part, of (part, cut, key, known, guest, inner, n, bits, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "part"):
-            part, keys, sizes, maps, cut = (table.column(c).to_pylist() for c in ("part", "key", "n", "bits", "cut"))
+            part, keys, sizes, maps, cut, known, guest, inner = (table.column(c).to_pylist() for c in ("part", "key", "n", "bits", "cut", "known", "guest", "inner"))
             raw = table.column("shingles")
             edges, start = [], 0
             for i in range(1, len(part) + 1):
                 if i == len(part) or part[i] != part[start]:
-                    once = [j for j in range(start, i) if j == start or keys[j] != keys[j - 1]]
+                    once = [j for j in range(start, i) if j == start or keys[j] != keys[j - 1] or guest[j] != guest[j - 1]]
                     if len(once) > 1:
-                        own = [np.frombuffer(raw[j].as_py(), np.uint64) for j in once]
+                        sets = [np.frombuffer(raw[j].as_py(), np.uint64) for j in once]
 
-                        def exact(x: int, y: int, own: list = own) -> bool:
-                            a, b = sorted((own[x], own[y]), key=len)
+                        def exact(x: int, y: int, sets: list = sets) -> bool:
+                            a, b = sorted((sets[x], sets[y]), key=len)
                             both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
                             return linked(both, len(a), len(b))
 
-                        forest = connect([sizes[j] for j in once], [maps[j] for j in once], exact)
+                        forest = connect([sizes[j] for j in once], [maps[j] for j in once], exact, [known[j] for j in once], sum(not guest[j] for j in once), inner[start])
                         edges += [(a, b, cut[start]) for a, b in forest_edges([keys[j] for j in once], forest)]
                     start = i
             a, b, c = zip(*edges, strict=True) if edges else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.bool_())], ["a", "b", "cut"])
 
-    together = sets.select("part", "cut", "key", "n", "bits", "shingles").repartition("part").sortWithinPartitions("part", "n", "key")
+    together = sets.select("part", "cut", "key", "known", "guest", "inner", "n", "bits", "shingles").repartition("part").sortWithinPartitions("part", "guest", "n", "key")
     return arrow_map(together, run, "a bigint, b bigint, cut boolean")
 
 
+def dealt(docs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
+    """The whole sets of members (node, cut, known, places: parts with whether the member is a guest there and whether the part's own
+    members are compared), a row for each part."""
+    at = ["doc_id", "text_hash", "key", "cut", "known", "places"]
+    wanted = members.join(sets.select(F.col("key").alias("node"), "doc_id", "text_hash"), "node").withColumnRenamed("node", "key").select(*at)
+    return whole_sets(docs, wanted).withColumn("at", F.explode("places")).select("at.*", "key", "cut", "known", "n", "bits", "shingles")
+
+
+def place(part: F.Column, guest: bool = False, inner: F.Column | None = None) -> F.Column:
+    return F.struct(part.alias("part"), F.lit(guest).alias("guest"), (F.lit(True) if inner is None else inner).alias("inner"))
+
+
+def first_round(groups: DataFrame) -> DataFrame:
+    """node, cut, known, places of the members of all groups (node, label): a small group is one part; a large one is dealt in parts
+    of PART, with its hubs in each."""
+    size = groups.groupBy("label").agg(F.count("*").alias("many"))
+    sized = groups.join(size, "label")
+    large = F.col("many") > 2 * PART
+    hubs = sized.where(large).groupBy("label", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(HUBS)).alias("h")).agg(F.min("node").alias("node")).select("node", F.lit(True).alias("hub"))
+    parts = F.when(large, F.ceil(F.col("many") / PART).cast("int")).otherwise(F.lit(1))
+    marked = sized.join(hubs, "node", "left").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    some = F.when(F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))
+    return marked.select("node", large.alias("cut"), F.lit(None).cast("bigint").alias("known"), F.transform(some, lambda j: place(F.xxhash64("label", j))).alias("places"))
+
+
+def second_round(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """node, cut, known, places of the members of large groups that have a rest, with the components (node, label) known from the
+    first round: each part of REST_PART members meets each REST_PART of the rest."""
+    size = groups.groupBy("label").agg(F.count("*").alias("many")).where(F.col("many") > 2 * PART)
+    named = groups.join(size, "label").join(known.select("node", F.col("label").alias("known")), "node", "left")
+    most = named.where("known is not null").groupBy("label", "known").agg(F.count("*").alias("n")).groupBy("label").agg(F.max(F.struct("n", "known"))["known"].alias("largest"))
+    apart = F.coalesce(F.col("known") != F.col("largest"), F.lit(True))
+    marked = named.join(most, "label", "left").withColumn("apart", apart)
+    rest = marked.where("apart").groupBy("label").agg(F.count("*").alias("rest"))
+    both = marked.join(rest, "label").withColumn("parts", F.ceil(F.col("many") / REST_PART).cast("int")).withColumn("chunks", F.ceil(F.col("rest") / REST_PART).cast("int"))
+    both = both.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")).cast("int"))
+    at = lambda j, g: F.xxhash64("label", j, g, F.lit(2))
+    home = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda g: place(at(F.col("own"), g), False, g == 0))
+    away = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != F.col("own")), lambda j: place(at(j, F.col("chunk")), True, F.col("chunk") == 0))
+    return both.select("node", F.lit(True).alias("cut"), "known", F.when(F.col("apart"), F.concat(home, away)).otherwise(home).alias("places"))
+
+
 def labels(docs: DataFrame, profiled: DataFrame) -> DataFrame:
-    """key, label of each set that is linked with another one; linked sets have the same label."""
-    posted = postings(docs, common_shingles(profiled))
-    sets = profiled.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r"), F.first("bits").alias("bits")).select("key", "r.doc_id", "r.text_hash", "bits")
-    posted = written(blocks(posted), "blocks")
-    candidates = written(candidate_links(posted.join(sets.select("key", "bits"), "key")), "candidates")
+    """key, label, as a written table: each set that is linked with another one; linked sets have the same label."""
+    posted = written(postings(docs, common_shingles(profiled)), "postings")
+    found = blocks(posted)
     discard(posted)
-    groups = components(candidates)
+    sets = written(profiled.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r"), F.first("bits").alias("bits")).select("key", "r.doc_id", "r.text_hash", "bits"), "sets")
+    near = candidate_links(found.where("block is not null").select("block", "key", "n").dropDuplicates(["block", "key"]).join(sets.select("key", "bits"), "key"))
+    stars = found.where("hub is not null").select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    edges = docs.sparkSession.createDataFrame(over_edges(found), "a bigint, b bigint")
+    candidates = written(near.unionByName(stars).unionByName(edges), "candidates")
+    discard(found)
+    named = components(candidates)
+    groups = written(named, "groups")
+    discard(named)
     discard(candidates)
-    sized = groups.join(groups.groupBy("label").agg(F.count("*").alias("many")), "label")
-    parts = F.ceil(F.col("many") / PART).cast("int")
-    spread = sized.withColumn("parts", F.when(F.col("many") > 2 * PART, parts).otherwise(F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64(F.col("label"), F.least("own", j), F.greatest("own", j)))
-    wanted = spread.join(sets.select(F.col("key").alias("node"), "doc_id", "text_hash"), "node").select("doc_id", "text_hash", F.col("node").alias("key"), others.alias("in_parts"), (F.col("parts") > 1).alias("cut"))
-    found = whole_sets(docs, wanted).withColumn("part", F.explode("in_parts"))
-    links = written(true_links(found), "links")
+    links = written(true_links(dealt(docs, sets, first_round(groups))), "links")
     done = links.where("not cut").select(F.col("a").alias("node"), F.col("b").alias("label"))
-    done = done.unionByName(done.select(F.col("label").alias("node"), "label").distinct())
-    more = links.where("cut")
-    if not more.isEmpty():
-        done = done.unionByName(components(more.select("a", "b")))
-    return done.select(F.col("node").alias("key"), "label")
+    done = done.unionByName(done.select(F.col("label").alias("node"), "label").distinct()).distinct()
+    used = [sets, groups, links]
+    cut = links.where("cut").select("a", "b")
+    if not groups.groupBy("label").count().where(F.col("count") > 2 * PART).isEmpty():
+        known = components(cut)
+        more = written(true_links(dealt(docs, sets, second_round(groups, known))), "links")
+        large = components(cut.unionByName(more.select("a", "b")))
+        done = done.unionByName(large)
+        used += [known, more, large]
+    out = written(done.select(F.col("node").alias("key"), "label"), "labels")
+    for table in used:
+        discard(table)
+    return out
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, text_hash, label of each row of docs.
+    """doc_id, n_shingles, component_id, text_hash, label of each row of docs, as a written table.
 
     component_id: the smallest doc_id reachable by links, itself included. A text with one to four words is one shingle;
     null texts and texts without words have none and are linked with nothing (label null). Equal texts are linked even if
-    their ids are equal. Extra columns are ignored; an empty table gives an empty table.
+    their ids are equal. Null ids are linked like others and are a component's id only if it has no other. Very long texts
+    are taken whole. Extra columns are ignored, whatever their names; an empty table gives an empty table.
     """
     profiled = written(profiles(docs), "profiles")
     own = profiled.select("doc_id", "text_hash", "key", "n")
@@ -451,7 +579,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     keyed = per_key.join(least, "label").select("key", "label", "component_id")
     out = own.where("n > 0").join(keyed, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash", "label")
     none = own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash", F.lit(None).cast("bigint").alias("label"))
-    return out.unionByName(none)
+    whole = written(out.unionByName(none), "near-copies")
+    discard(profiled)
+    discard(named)
+    return whole
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
