@@ -42,6 +42,8 @@ BLOCK = 512
 #: Members of a part of a large group, of those that are in each of its parts, and of a part that meets the rest.
 PART, HUBS, REST_PART = 256, 16, 2048
 LEAF = 8
+#: Remainders of hashes by which documents are sieved before they are shuffled: a broadcast of 4 MB at most.
+SIEVE = 1 << 18
 
 
 def linked(both: int, a: int, b: int) -> bool:
@@ -428,12 +430,14 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # A table of its own, so that both sides of the join are plain shuffles and a hot node's rows are split.
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         own = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(own, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         last, stars = stars, written(small.unionByName(own.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "stars")
         discard(last)
+        discard(least)
     named = stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
     out = named.unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
     out.written_to = stars.written_to
@@ -488,11 +492,15 @@ def true_links(sets: DataFrame) -> DataFrame:
     return arrow_map(together, run, "a bigint, b bigint, cut boolean")
 
 
-def dealt(docs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
+def dealt(docs: DataFrame, sets: DataFrame, members: DataFrame, few: bool = False) -> DataFrame:
     """The whole sets of members (node, cut, known, places: parts with whether the member is a guest there and whether the part's own
-    members are compared), a row for each part."""
+    members are compared), a row for each part. If members are few, documents are first sieved by a broadcast list of their texts'
+    hashes modulo SIEVE."""
     at = ["doc_id", "text_hash", "key", "cut", "known", "places"]
     wanted = members.join(sets.select(F.col("key").alias("node"), "doc_id", "text_hash"), "node").withColumnRenamed("node", "key").select(*at)
+    if few:
+        sieve = wanted.select(F.pmod("text_hash", F.lit(SIEVE)).alias("s")).distinct()  # SIEVE rows at most
+        docs = docs.join(F.broadcast(sieve), F.pmod(F.xxhash64("text"), F.lit(SIEVE)) == F.col("s"), "left_semi")
     return whole_sets(docs, wanted).withColumn("at", F.explode("places")).select("at.*", "key", "cut", "known", "n", "bits", "shingles")
 
 
@@ -552,7 +560,7 @@ def labels(docs: DataFrame, profiled: DataFrame) -> DataFrame:
     cut = links.where("cut").select("a", "b")
     if not groups.groupBy("label").count().where(F.col("count") > 2 * PART).isEmpty():
         known = components(cut)
-        more = written(true_links(dealt(docs, sets, second_round(groups, known))), "links")
+        more = written(true_links(dealt(docs, sets, second_round(groups, known), True)), "links")
         large = components(cut.unionByName(more.select("a", "b")))
         done = done.unionByName(large)
         used += [known, more, large]
