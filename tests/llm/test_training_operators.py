@@ -92,6 +92,17 @@ def test_packing(docs, empty):
     assert packing.pack(empty, ranks).isEmpty()
 
 
+def test_packed_rows_do_not_depend_on_partitions(docs, tmp_path, monkeypatch):
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    monkeypatch.setattr(packing, "GROUP_BYTES", 20_000)
+    key = lambda rows: sorted((r.doc_ids, r.part_of, bytes(r.input_ids), bytes(r.position_ids)) for r in rows)
+    want = key(packing.pack(docs, ranks, 256).collect())
+    packing.write_packed(docs.repartition(3), ranks, str(tmp_path / "packed"), 256)
+    back = docs.sparkSession.read.parquet(str(tmp_path / "packed"))
+    assert key(back.collect()) == want and back.columns == [x.split()[0] for x in packing.PACKED_SCHEMA.split(", ")]
+    assert all(np.frombuffer(r.input_ids, "<u4").shape == (256,) for r in back.collect())
+
+
 def test_best_fit_against_brute_force():
     r = np.random.default_rng(2)
     for _ in range(50):
@@ -455,9 +466,20 @@ def test_sharding(docs, empty):
     for k in {r.shard for r in rows}:
         places = sorted(r.slot for r in rows if r.shard == k)
         assert places == list(range(len(places)))
+    load = {k: sum(r.size for r in rows if r.shard == k) for k in range(3)}
+    slots = {s: sum(r.size for r in rows if r.virtual_slot == s) for s in {r.virtual_slot for r in rows}}
+    fullest, least = max(load, key=load.get), min(load.values())
+    assert {r.map_version for r in rows} == {2}  # near equal: no slot of the fullest shard could be moved with gain
+    assert all(slots[r.virtual_slot] >= load[fullest] - least for r in rows if r.shard == fullest)
     assert sharding.shard(empty).isEmpty()
 
 
+def test_shards_of_many_rows_are_near_equal(spark):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.expr("repeat('x', cast(pmod(xxhash64(id), 900) as int))").alias("text"))
+    load = [r[1] for r in sharding.shard(rows).groupBy("shard").agg(F.sum("size")).collect()]
+    assert len(load) == 24 and max(load) - min(load) < 0.01 * max(load)
+
+
 def test_slot_map_edits():
     sizes = {s: int(x) for s, x in enumerate(rng.integers(1, 100, 512))}
     a = sharding.SlotMap.build(sizes, 8, 512)
@@ -479,6 +501,12 @@ def test_media(docs, empty):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
         assert r.media_sha256 == hashlib.sha256(media.store(full)).hexdigest() and media.load(media.store(full)) == full
     assert got[0].feature == got[1].feature and got[0].caption == f"{len(BASE)} bytes of text"
+    assert (got[0].position, got[0].n_parts) == (1, 2) and (got[5].position, got[5].n_parts) == (0, 1) and (got[4].position, got[4].n_parts) == (1, 3)
+    x = np.frombuffer((TEXTS[8] + " " * 185).encode(), np.uint8).astype(float)
+    means = [sum(x[c::3]) / 64 for c in range(3)]
+    sds = [(sum((v - m) ** 2 for v in x[c::3]) / 64) ** 0.5 for c, m in enumerate(means)]
+    bins = [sum(1 for v in x if int(v) // 32 == b) for b in range(8)]
+    assert got[8].feature == "rgb=" + ",".join(f"{m:.3f}:{d:.3f}" for m, d in zip(means, sds, strict=True)) + ";hist=" + ",".join(map(str, bins))
     assert media.document_media(empty).isEmpty()
 
 
@@ -488,6 +516,11 @@ def test_html_sequences(spark):
     rows = media.sequences(media.parse(pages)).collect()
     assert [(p.kind, p.text, p.ref, p.caption) for p in rows[0].parts] == [("text", "a b", None, None), ("media", None, "x", "cap & c"), ("media", None, "z", None), ("text", "tail", None, None)]
     assert len(rows) == 1
+    broken = {"<figure><img src=a><figcaption>c</figure><p>after</p>": [("media", None, "a", "c"), ("text", "after", None, None)], "<figcaption>x<p>y": [("text", "x y", None, None)], "<figure><figcaption>only</figcaption></figure>z": [("text", "only", None, None), ("text", "z", None, None)]}
+    for page, want in broken.items():
+        assert [x[1:] for x in media.read_html(page.replace("<p>y", " y"))] == want
+    whole = media.read(pages).orderBy("page_id").collect()
+    assert [len(r.parts) for r in whole] == [4, 0, 0] and [p.position for p in whole[0].parts] == [0, 1, 2, 3]
 
 
 def brute_mix(rows):

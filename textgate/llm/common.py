@@ -47,10 +47,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir. Only where it is unset (local tests), a temporary one."""
+    """The shared folder named in spark.checkpoint.dir. A session without one can't share tables between executors: that is an error."""
     said = spark.conf.get("spark.checkpoint.dir", None)
     if not said:
-        said = getattr(shared_dir, "own", None)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        said = getattr(shared_dir, "own", None)  # one process, one disk
         if not said:
             said = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="textgate-")
     return said.rstrip("/")

@@ -1,7 +1,7 @@
 """Interleaved document sequences: ordered text and media references parsed from HTML, with payloads resolved by digest.
 
-parse() turns pages into one row per element in reading order: text runs, and media references with their digest and
-caption. Payloads are rows of a media table keyed by digest; resolve() joins them to the references, so one stored payload
+read() turns each page into its sequence: text runs and media references with their digest and caption, in reading order;
+parse() gives a row per element. Payloads are rows of a media table keyed by digest; resolve() joins them to the references, so one stored payload
 serves all its uses, and position and caption stay with the reference. Samples are stored as binary portable pixmaps
 (8-bit RGB, 64 samples wide: 192 bytes a row).
 """
@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from .common import slices
+from .common import arrow_map, slices
 
 ROW = 192
 SCHEME = "sha256:"
@@ -42,6 +43,17 @@ class _Reader(HTMLParser):
         if text:
             self.items.append(["text", text, None, None])
 
+    def end_caption(self) -> None:
+        """The caption goes to its figure's media; without any it is text. It ends with its figure if it is never closed."""
+        if self.caption is not None:
+            text = " ".join("".join(self.caption).split())
+            self.caption = None
+            media = self.figure[-1] if self.figure else []
+            for item in media:
+                item[3] = text
+            if not media and text:
+                self.items.append(["text", text, None, None])
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _SKIPPED:
             self.skip += 1
@@ -53,9 +65,11 @@ class _Reader(HTMLParser):
                 if self.figure:
                     self.figure[-1].append(self.items[-1])
         elif tag == "figure":
+            self.end_caption()
             self.flush()
             self.figure.append([])
         elif tag == "figcaption":
+            self.end_caption()
             self.flush()
             self.caption = []
         elif tag not in _INLINE:
@@ -64,14 +78,10 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in _SKIPPED:
             self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            self.caption = None
-            for item in self.figure[-1] if self.figure else []:
-                item[3] = text
-            if not self.figure and text:
-                self.items.append(["text", text, None, None])
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag == "figure":
+            self.end_caption()
             self.flush()
             if self.figure:
                 self.figure.pop()
@@ -85,27 +95,38 @@ class _Reader(HTMLParser):
 
 def read_html(html: str | None) -> list[tuple]:
     """(position, kind, text, ref, caption) of a page's elements; none for null or empty HTML. A figure's caption goes to
-    its media (even if it stands before them); an image without one has its alt text."""
+    the media that stand before it in the figure; an image without one has its alt text. Broken markup loses no text: what isn't
+    closed ends with what is around it."""
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
+    reader.end_caption()
     reader.flush()
     return [(i, *x) for i, x in enumerate(reader.items)]
 
 
-def parse(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, position, kind ('text' or 'media'), text, ref, caption: a row per element; pages without elements have none."""
+_PART = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
+
+
+def read(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, parts: each page's sequence, an array of structs (position, kind 'text' or 'media', text, ref, caption) in reading order;
+    empty for null and empty pages. Rows keep their number; other columns are ignored, whatever their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, *x) for k, h in zip(batch.column("key").to_pylist(), batch.column("html").to_pylist(), strict=True) for x in read_html(h)]
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [batch.schema.field("key").type, pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "position", "kind", "text", "ref", "caption"])
+            for some in slices(batch, "html"):
+                parts = [[dict(zip(("position", "kind", "text", "ref", "caption"), x, strict=True)) for x in read_html(h)] for h in some.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column("key"), pa.array(parts, pa.list_(_PART))], ["key", "parts"])
 
     narrow = pages.select(F.col(key).alias("key"), F.col(html).alias("html"))
-    kind = narrow.schema["key"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"key {kind}, position int, kind string, text string, ref string, caption string").withColumnRenamed("key", key)
+    part = StructType().add("position", "integer").add("kind", "string").add("text", "string").add("ref", "string").add("caption", "string")
+    kind = StructType([narrow.schema["key"]]).add("parts", ArrayType(part))
+    return arrow_map(narrow, run, kind).withColumnRenamed("key", key)
+
+
+def parse(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, position, kind, text, ref, caption: a row per element of read(); pages without elements have none."""
+    return read(pages, key, html).select(key, F.explode("parts").alias("p")).select(key, "p.*")
 
 
 def sequences(parts: DataFrame, key: str = "page_id") -> DataFrame:
@@ -143,12 +164,16 @@ def payload(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b" " * (max(1, -(-len(raw) // ROW)) * ROW - len(raw))
 
 
-def page_of(digest: str, n_bytes: int) -> str:
-    return f'<article><figure><img src="{SCHEME}{digest}"><figcaption>{escape(f"{n_bytes} bytes of text")}</figcaption></figure></article>'
+def page_of(digest: str, text: str, n_bytes: int) -> str:
+    """A page of a text: its lines as paragraphs and, after the first half of them, the figure that shows its payload by digest."""
+    lines = [f"<p>{escape(x, quote=False)}</p>" for x in text.split("\n") if x.strip()]
+    half = (len(lines) + 1) // 2
+    figure = f'<figure><img src="{SCHEME}{digest}"><figcaption>{escape(f"{n_bytes} bytes of text")}</figcaption></figure>'
+    return "<article>" + "".join(lines[:half]) + figure + "".join(lines[half:]) + "</article>"
 
 
 def as_pages(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, html: each text as a page that shows its payload by digest."""
+    """doc_id, n_bytes, html: each text as a page of its paragraphs, with its payload among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,10 +182,10 @@ def as_pages(docs: DataFrame) -> DataFrame:
                 for t in part.column("text").to_pylist():
                     n, p = payload(t)
                     sizes.append(n)
-                    pages.append(page_of(hashlib.sha256(store(p)).hexdigest(), n))
+                    pages.append(page_of(hashlib.sha256(store(p)).hexdigest(), t or "", n))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(pages, pa.string())], ["doc_id", "n_bytes", "html"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, html string")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, n_bytes bigint, html string")
 
 
 def media_table(docs: DataFrame) -> DataFrame:
@@ -182,7 +207,7 @@ def media_table(docs: DataFrame) -> DataFrame:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(refs, pa.string()), pa.array(stored, pa.binary())], ["ref", "media"])
 
-    return docs.select("text").mapInArrow(run, "ref string, media binary")
+    return arrow_map(docs.select("text"), run, "ref string, media binary")
 
 
 def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
@@ -205,17 +230,20 @@ def described(resolved: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["ref", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return resolved.select("ref", "media").mapInArrow(run, "ref string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return arrow_map(resolved.select("ref", "media"), run, "ref string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position, caption.
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position, caption, n_parts.
 
-    Each text becomes a page with one figure; pages are parsed, references resolved by digest and payloads read back.
-    Null text is an empty text (192 blanks). Repeated rows and ids keep their number; equal texts have equal values.
+    Each text becomes a page of its paragraphs with one figure among them; pages are read as sequences of n_parts elements,
+    references (with their position and caption) resolved by digest and payloads read back. Null text is an empty text (192
+    blanks); texts are whole, however long. Repeated rows and ids keep their number; equal texts have equal values. Other columns are
+    ignored, whatever their names; an empty table gives an empty table.
     """
-    pages = as_pages(docs)
-    parts = parse(pages.select(F.struct("doc_id", "n_bytes").alias("page"), "html"), "page").where("kind = 'media'")
-    facts = described(resolve(parts, media_table(docs)))
+    pages = read(as_pages(docs).select(F.struct("doc_id", "n_bytes").alias("page"), "html"), "page")
+    media = F.filter("parts", lambda p: p["kind"] == "media")
+    shown = pages.select("page", F.size("parts").alias("n_parts"), F.explode(F.transform(media, lambda p: p.dropFields("text", "kind"))).alias("m")).select("page.*", "n_parts", "m.*")
+    facts = described(resolve(shown, media_table(docs)))
     facts = facts.groupBy("ref").agg(*[F.first(c).alias(c) for c in facts.columns if c != "ref"])  # copies from several batches
-    return parts.join(facts, "ref").select("page.doc_id", "page.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return shown.join(facts, "ref").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_parts")

@@ -3,8 +3,8 @@
 Documents longer than a row are split without loss; pieces are sorted by length and each goes to the row with the least
 room that still fits, found in a segment tree over capacities. A packed row holds an id matrix row (unsigned 32-bit,
 padded), the cumulative lengths of its pieces and position ids that start anew with each piece. Packing runs in groups of
-pieces of bounded size: what a task reads, up to about GROUP_TOKENS tokens at a time, so rows never depend on an unbounded
-set. Where partitions are small so are groups, and rows are filled less; how full depends on the partition layout.
+documents, dealt by a hash of id and text; there are as many groups as make about GROUP_BYTES of text each, so rows depend neither
+on an unbounded set nor on how the table is partitioned.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN
-from .common import slices
+from .common import arrow_map, slices
 
 ROW_TOKENS = 2048
 PAD = 50256
-#: Tokens that are packed together.
-GROUP_TOKENS = 1 << 21
+#: Bytes of text that are packed together.
+GROUP_BYTES = 1 << 22
 PACKED_SCHEMA = "row_tokens int, n_tokens int, n_segments int, doc_ids array<bigint>, part_of array<int>, cu_seqlens array<int>, input_ids binary, position_ids binary"
 
 
@@ -115,13 +115,14 @@ def pack_group(docs: list[tuple[int, np.ndarray]], room: int = ROW_TOKENS, pad:
 def pack(docs: DataFrame, path: str, room: int = ROW_TOKENS) -> DataFrame:
     """Packed rows of the texts of docs (PACKED_SCHEMA): every token of every text is in one place, in order within its
     piece; part_of says which piece of the document it is. Null and empty texts have no piece; documents with equal ids
-    are packed as separate documents. path: a file of token ranks. A worker packs about GROUP_TOKENS tokens of its partition at a time.
+    are packed as separate documents, and texts longer than a row are split. path: a file of token ranks. Other columns are
+    ignored, whatever their names; an empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoding(path)
         held: list[tuple[int, np.ndarray]] = []
-        size = 0
+        now = None
 
         def emit() -> pa.RecordBatch:
             rows = pack_group(held, room)
@@ -132,16 +133,19 @@ def pack(docs: DataFrame, path: str, room: int = ROW_TOKENS) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, "text"):
-                for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                for g, d, t in zip(*(part.column(c).to_pylist() for c in ("_group", "doc_id", "text")), strict=True):
+                    if held and g != now:
+                        yield emit()
+                        held = []
+                    now = g
                     held.append((d, np.array(own.encode_ordinary(t or ""), "<u4")))
-                    size += len(held[-1][1])
-                if size >= GROUP_TOKENS:
-                    yield emit()
-                    held, size = [], 0
         if held:
             yield emit()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PACKED_SCHEMA)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // GROUP_BYTES + 1))
+    dealt = docs.select(group.alias("_group"), "doc_id", "text", F.xxhash64("text").alias("_hash")).repartition("_group").sortWithinPartitions("_group", "doc_id", "_hash")
+    return arrow_map(dealt.select("_group", "doc_id", "text"), run, PACKED_SCHEMA)
 
 
 def write_packed(docs: DataFrame, path: str, out: str, room: int = ROW_TOKENS) -> None:

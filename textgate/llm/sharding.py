@@ -43,6 +43,18 @@ class SlotMap:
             heapq.heappush(heap, (load + sizes[slot], k))
         return cls(shard_of, n_shards)
 
+    @classmethod
+    def dealt(cls, n_shards: int, slots: int = SLOTS) -> SlotMap:
+        """The map before anything is stored: slots in turn."""
+        return cls([s % n_shards for s in range(slots)], n_shards)
+
+    @classmethod
+    def load(cls, table: DataFrame) -> SlotMap:
+        """The latest version in a stored table of maps (a row per slot and version)."""
+        last = table.agg(F.max("version")).first()[0]
+        rows = table.where(F.col("version") == last).orderBy("virtual_slot").collect()
+        return cls([r.shard for r in rows], max(r.shard for r in rows) + 1, last)
+
     def rebalance(self, sizes: dict[int, int], n_shards: int) -> SlotMap:
         """The next version for n_shards: slots of shards that go are moved first, then slots move from the fullest shard
         to the emptiest while that narrows their gap. Other slots stay."""
@@ -98,16 +110,21 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, slots: int = SLOTS) -> DataFr
 
     slot is the row's place in its shard, gapless from 0: the places of the shard's virtual slots follow one another, and
     inside a virtual slot rows are ordered by (doc_id, text_crc32, size). Numbering runs per virtual slot, never per shard.
-    grown_shard is null under the law `bytes`. Empty tables give empty tables; repeated rows get places of their own.
+    The stored map starts as slots dealt in turn (version 1) and is edited by rebalance() for the measured bytes (version 2), which
+    is stored too and decides. grown_shard is null under the law `bytes`. The contract's groups are equal texts: copies have ids
+    of their own and so may be in different slots, as bytes alone decide. Null ids are hashed like any others. Other columns are
+    ignored, whatever their names; a very long text is one row of its size. Empty tables give empty tables; repeated rows get places of their own.
     """
     spark = docs.sparkSession
     sized = measured(docs, slots)
     sizes = slot_sizes(sized)
-    by_bytes = SlotMap.build({s: b for s, (b, _) in sizes.items()}, n_shards, slots)
-    stored = written(by_bytes.table(spark), "slot-map")
+    by_bytes = {s: b for s, (b, _) in sizes.items()}
+    first = written(SlotMap.dealt(n_shards, slots).table(spark), "slot-map")
+    placed = SlotMap.load(first).rebalance(by_bytes, n_shards)
+    stored = written(placed.table(spark), "slot-map")
     offset, filled = {}, [0] * n_shards
     for s in range(slots):
-        k = by_bytes.shard_of[s]
+        k = placed.shard_of[s]
         offset[s] = filled[k]
         filled[k] += sizes.get(s, (0, 0))[1]
     places = spark.createDataFrame([(s, o) for s, o in offset.items()], "virtual_slot int, _offset bigint")
