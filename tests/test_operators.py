@@ -5,6 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from textgate.functions import align
 from textgate.operators import attribution, benchmark, generate, history, invariants, journal, lint, mining, registry, render, routing, sections
 from textgate.plans import catalogue
 from textgate.sources import corpus, rules
@@ -64,10 +65,10 @@ def entries(spark, *rows):
 
 
 def test_journal(spark):
-    p = pair(spark, "The result shows that it is correct.", "The results show that it is correct.")
-    good = {"kind": "changed", "original": "result shows", "corrected": "results show", "rule": {"source": "r", "id": "x"}, "reason": "number"}
+    p = pair(spark, "Each sample were heated twice, then it is stored.", "Each sample was heated twice, then it is stored.")
+    good = {"kind": "changed", "original": "sample were", "corrected": "sample was", "rule": {"source": "r", "id": "x"}, "reason": "number"}
     assert journal.check_journal(p, entries(spark, good)).first().verdict == "PASS"
-    assert journal.check_journal(p, entries(spark, good | {"original": "correct.", "corrected": "correct."})).first().uncovered == 1
+    assert journal.check_journal(p, entries(spark, good | {"original": "stored.", "corrected": "stored."})).first().uncovered == 1
     assert journal.check_journal(p, entries(spark, good | {"kind": "other"})).first().faults == 1
     assert journal.check_journal(p, entries(spark, good), spark.createDataFrame([("r", "only y")], "source string, content string")).first().faults == 1
     assert journal.check_journal(p, entries(spark).limit(0)).first().verdict == "PASS"
@@ -135,6 +136,54 @@ def test_benchmark(spark):
     assert benchmark.regression(one(0.9, 0.0), one(1.0, 0.0)).first().regressed and not benchmark.regression(one(1.0, 0.01), one(1.0, 0.0)).first().regressed
 
 
+def test_case_scores_by_rule(spark):
+    """A lost invariant scores 0, no gold change is made by any candidate, spans take what is aligned with them."""
+    edits = [(1, 2, "articles", "critical", [["goes"], ["went"]])]
+    cases = case(spark, [("kept", "he go 3 km", "he goes 3 km", edits, meta()), ("lost", "he go 3 km", "he goes 3 km", edits, meta()), ("same", "a b c", "a b c", [], meta(True)), ("ins", "a b", "a x b", [(1, 1, "articles", "minor", [["x"]])], meta()), ("del", "a b c", "a c", [(1, 2, "articles", "minor", [[]])], meta())])
+    cands = spark.createDataFrame([("kept", "he went 3 km"), ("lost", "he went 4 km"), ("same", "a b d"), ("ins", "a x b"), ("del", "a c")], "case_id string, text string")
+    s = {r.case_id: r for r in benchmark.scores(cases, cands).collect()}
+    assert {k: r.score for k, r in s.items()} == {"kept": 1.0, "lost": 0.0, "same": 1.0, "ins": 1.0, "del": 1.0}
+    assert {k: r.eap for k, r in s.items()} == {"kept": 0.0, "lost": 0.0, "same": 1.0, "ins": 1.0, "del": 1.0}
+    assert s["same"].changed == 1 and s["kept"].weight == 4.0 and s["kept"].source_tokens == 4
+    mp = {r.case_id: r for r in benchmark.preservation(cases, cands, ["km"]).collect()}
+    assert (mp["kept"].dice, mp["kept"].strict, mp["kept"].protected_names) == (1.0, True, True)
+    assert mp["lost"].dice == 0.0 and not mp["lost"].strict and (mp["same"].dice, mp["same"].strict) == (1.0, True)
+
+
+def test_alignment_against_brute_force(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    text = lambda: " ".join(r.choice(list("abcd"), int(r.integers(0, 9))))
+    rows = [(text(), text(), int(a), int(a + r.integers(0, 4))) for a in r.integers(0, 7, 200)]
+    got = spark.createDataFrame(rows, "s string, o string, a int, b int").withColumn("p", align.paired("s", "o")).select("s", "o", "a", "b", align.aligned_tokens(F.col("p"), F.col("a"), F.col("b")).alias("x")).collect()
+    for row in got:
+        ops, out, want = align.opcodes(align.tokens(row.s), align.tokens(row.o)), align.tokens(row.o), []
+        for tag, i1, i2, j1, j2 in ops:  # token by token
+            if tag == "equal":
+                want += [out[j1 + i - i1] for i in range(i1, i2) if row.a <= i < row.b]
+            elif (tag == "insert" and row.a <= i1 <= row.b) or (tag == "replace" and i1 < row.b and row.a < i2):
+                want += out[j1:j2]
+        assert row.x == want
+
+
+def test_occurrence_spans(spark):
+    t = "ab ab  ab x.y x.y " + "z" * 300 + " \\E end"
+    d = spark.createDataFrame([(t, ["ab"]), (t, ["ab", "x.y"]), (t, ["z"]), (t, []), (t, None), (t, ["\\E", ""])], "t string, n array<string>")
+    got = [[(x.s, x.e) for x in r.s] for r in d.select(align.occurrence_spans(F.col("t"), F.col("n")).alias("s")).collect()]
+    assert got == [[(0, 9)], [(0, 17)], [(18, 118)], [], [], [(319, 321)]]
+
+
+def test_lint_rules(spark):
+    d = docs(spark, "finite difference [3] (FDTD) and charge density wave (CDW). FDTD CDW XRD", "SEM SEM")
+    assert {(r.doc_id, r.acronym): r.cnt for r in lint.undefined_acronyms(d).collect()} == {(0, "FDTD"): 2, (0, "XRD"): 1, (1, "SEM"): 2}
+    assert registry.definitions(docs(spark, "rare metal (In) used. charge density wave (CDW)")).select("acronym").collect()[0][0] == "CDW"
+    hit = lambda t, p: spark.createDataFrame([(t,)], "t string").where(F.col("t").rlike(lint.tell_pattern(p))).count()
+    assert [hit(t, "shed/cast light") for t in ("they shed cast light", "SHEDS/CAST LIGHT on", "shed light", "shed / cast light")] == [1, 1, 0, 1]
+    lines = spark.createDataFrame([("f", i, v) for i, v in enumerate(["# Tells", '- "paves the way" and "old -> newer"', '  - "X plays a role" "tapestry of"', "## Non-tell phrases", '- "in this study"', "# More", '- "never read it"'])], "file string, line int, value string")
+    assert [r.phrase for r in rules.tell_phrases(lines).orderBy("line").collect()] == ["paves the way", "tapestry of"]
+
+
 def test_ablation(spark):
     arm = lambda x: spark.createDataFrame([(str(i), f"d{i % 2}", x) for i in range(4)], "case_id string, source_doc_id string, score double")
     p = benchmark.paired(arm(1.0), arm(0.9))
@@ -192,11 +241,16 @@ def test_streaming(spark, tmp_path):
         incremental.arrivals(spark, src, d.schema, out, str(tmp_path / "cp")).awaitTermination()
         assert spark.read.parquet(out).count() == want
         docs(spark, "c").write.mode("append").parquet(src)
-    defs = spark.createDataFrame([("CV", "F", "x"), ("CV", "F", "y"), ("AB", "F", "z")], "acronym string, field string, expansion string")
-    defs.write.parquet(str(tmp_path / "defs"))
-    stream = spark.readStream.schema(defs.schema).parquet(str(tmp_path / "defs"))
-    incremental.fold_definitions(stream, str(tmp_path / "reg"), str(tmp_path / "cp2")).awaitTermination()
-    assert {(r.acronym, r.conflict) for r in spark.read.parquet(str(tmp_path / "reg/v0")).collect()} == {("CV", True), ("AB", False)}
+    t = "acronym string, field string, expansion string, doc_id int, kind int, pos int"
+    rows = [("CV", "F", "x rays", 2, 0, 0), ("CV", "F", "coil", 1, 0, 0), ("AB", "F", "Z one", 1, 0, 0), ("AB", "F", "z one two", 2, 0, 0)], [("AB", "F", "other", 3, 0, 0), ("NEW", "F", "n", 3, 0, 0), ("CV", "F", "third", 3, 0, 0)]
+    for some in rows:
+        spark.createDataFrame(some, t).coalesce(1).write.mode("append").parquet(str(tmp_path / "defs"))
+        stream = spark.readStream.schema(t).parquet(str(tmp_path / "defs"))
+        incremental.fold_definitions(stream, str(tmp_path / "reg"), str(tmp_path / "cp2")).awaitTermination()
+    own = {r.acronym: (r.expansion, r.status, r.seen) for r in spark.read.parquet(str(tmp_path / "reg/v1")).collect()}
+    whole = registry.fold(spark.createDataFrame(rows[0] + rows[1], t), "acronym", "field").collect()
+    assert own == {r.acronym: (r.expansion, r.status, r.expansions_seen) for r in whole}
+    assert own == {"CV": ("coil", "conflict", ["coil", "x rays"]), "AB": ("Z one", "conflict", ["Z one", "other"]), "NEW": ("n", "verified", ["n"])}
 
 
 def test_catalogue_against_duckdb(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ from pyspark.sql.types import StringType
 from . import fixed as X
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once a row: inside a lambda of body an expression would run for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -68,13 +74,25 @@ def dois(text: Column) -> Column:
     return find_all(text, X.DOI)
 
 
+def numbers_in(body: Column) -> Column:
+    """Numbers of a text that has no citations and DOIs any more (body_without)."""
+    return find_all(body, X.NUMBER)
+
+
+def quantities_in(body: Column) -> Column:
+    return F.zip_with(find_all(body, X.QUANTITY, 1), find_all(body, X.QUANTITY, 2), lambda n, u: F.trim(F.concat(n, F.lit(" "), F.coalesce(u, F.lit("")))))
+
+
 def numbers(text: Column) -> Column:
-    return find_all(body_without(text), X.NUMBER)
+    return numbers_in(body_without(text))
 
 
 def quantities(text: Column) -> Column:
-    body = body_without(text)
-    return F.zip_with(find_all(body, X.QUANTITY, 1), find_all(body, X.QUANTITY, 2), lambda n, u: F.trim(F.concat(n, F.lit(" "), F.coalesce(u, F.lit("")))))
+    return let(body_without(text), quantities_in)
+
+
+def formulas(text: Column) -> Column:
+    return formulas_in(body_without(text))
 
 
 def is_formula(token: Column) -> Column:
@@ -85,8 +103,8 @@ def is_formula(token: Column) -> Column:
     return (F.size(parts) >= 2) & known & (token.rlike(r"\d") | token.rlike("[a-z]") | (F.size(parts) >= 3))
 
 
-def formulas(text: Column) -> Column:
-    return F.filter(find_all(body_without(text), X.FORMULA), is_formula)
+def formulas_in(body: Column) -> Column:
+    return F.filter(find_all(body, X.FORMULA), is_formula)
 
 
 def _any_of(signs: str) -> str:
@@ -95,8 +113,14 @@ def _any_of(signs: str) -> str:
 
 def equations(text: Column) -> Column:
     """Maximal runs of equation atoms with an equality sign, trimmed of joining signs and punctuation at the ends."""
+    none = F.array().cast("array<string>")
+    return F.when(text.rlike(_any_of(X.EQUAL_SIGNS)), _equations(text)).otherwise(none)
+
+
+def _equations(text: Column) -> Column:
     core = lambda t: F.regexp_replace(F.regexp_replace(t, r"^[()\[\],.;:!?]+", ""), r"[()\[\],.;:!?]+$", "")
-    atom = lambda t: t.rlike(_any_of(X.EQUAL_SIGNS + X.JOIN_SIGNS)) | core(t).rlike(_any_of(X.MATH_SIGNS)) | core(t).rlike(r"\p{Nd}") | t.contains("_") | core(t).rlike(r"^\p{L}$")
+    inner = rf"{_any_of(X.MATH_SIGNS)}|\p{{Nd}}|^\p{{L}}$"
+    atom = lambda t: t.rlike(_any_of(X.EQUAL_SIGNS + X.JOIN_SIGNS) + "|_") | core(t).rlike(inner)
     mark = F.transform(whitespace_tokens(text), lambda t: F.when(atom(t), t).otherwise(F.lit("\u0001")))
     runs = F.filter(F.transform(F.split(F.array_join(mark, " "), "\u0001"), lambda r: F.trim(r)), lambda r: r.rlike(_any_of(X.EQUAL_SIGNS)))
     joins = _any_of(X.JOIN_SIGNS)
@@ -121,10 +145,12 @@ def trim_expansion(expansion: Column, acronym: Column) -> Column:
 
 
 def definitions(text: Column) -> Column:
-    """(acronym, expansion, kind) in order: forward definitions, then reverse ones."""
+    """(acronym, expansion, kind) in order: forward definitions, then reverse ones. The patterns try each letter as an expansion's
+    first; texts without an acronym before or in brackets are told by a cheaper pattern."""
     forward = F.zip_with(find_all(text, X.DEFINED_FORWARD, 1), find_all(text, X.DEFINED_FORWARD, 2), lambda e, a: F.struct(a.alias("acronym"), trim_expansion(e, a).alias("expansion"), F.lit(0).alias("kind")))
     reverse = F.zip_with(find_all(text, X.DEFINED_REVERSE, 1), find_all(text, X.DEFINED_REVERSE, 2), lambda a, e: F.struct(a.alias("acronym"), e.alias("expansion"), F.lit(1).alias("kind")))
-    return F.concat(forward, reverse)
+    none = F.array().cast("array<struct<acronym: string, expansion: string, kind: int>>")
+    return F.concat(F.when(text.rlike(r" \([A-Z][A-Za-z0-9]{1,9}%?\)"), forward).otherwise(none), F.when(text.rlike(r"[A-Z][A-Za-z0-9]{1,9} \([a-z]"), reverse).otherwise(none))
 
 
 def plausible_expansion(expansion: Column) -> Column:

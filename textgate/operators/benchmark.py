@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import align
 from ..functions import fixed as X
+from ..functions import text as T
+from .invariants import dice, multiset_diff
 
 
 def case_faults(cases: DataFrame, taxonomy: DataFrame | None = None) -> DataFrame:
@@ -44,10 +46,38 @@ def unmatched(cases: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def scores(cases: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """case_id, field, error_class, severity, no_edit, source_doc_id, score, weight, eap, changed, source_tokens: each case
-    aligned once. Without candidates the gold texts are scored."""
+    aligned once with its candidate and its gold text. Without candidates the gold texts are scored.
+
+    score: the share of the edits' severity weights that the candidate makes (its aligned tokens are accepted), 0 for all if it
+    loses any invariant of the input, 1 without edits. eap: the share of the gold changes that it makes, by size; 1 without any.
+    """
     pairs = cases.withColumn("text", F.col("gold")) if candidates is None else cases.join(candidates.select("case_id", "text"), "case_id")
-    s = pairs.withColumn("s", align.scored("input", "gold", "text", "edits"))
-    return s.select("case_id", "meta.field", "meta.error_class", "meta.severity", "meta.no_edit", "meta.source_doc_id", "s.score", "s.weight", "s.eap", "s.changed", "s.source_tokens")
+    diff = multiset_diff(pairs.select("case_id", F.col("input").alias("original"), F.col("text").alias("corrected")), "case_id")
+    lost = diff.where("missing > 0").select("case_id", F.lit(True).alias("_lost")).distinct()
+    made = pairs.withColumn("_c", align.paired("input", "text")).withColumn("_g", align.paired("input", "gold")).join(lost, "case_id", "left")
+    weight = lambda e: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in X.SEVERITY_WEIGHTS.items() for x in kv]), e["severity"]), F.lit(0.0))
+    total = lambda items, f: F.aggregate(items, F.lit(0.0), lambda n, x: n + f(x))
+    edits = F.coalesce("edits", F.array().cast(cases.schema["edits"].dataType))
+    hit = lambda e: F.array_contains(e["accept"], align.aligned_tokens(F.col("_c"), e["start"], e["end"]))
+    all_ = total(edits, weight)
+    done = F.when(F.coalesce("_lost", F.lit(False)), F.lit(0.0)).otherwise(total(F.filter(edits, hit), weight))
+    gold = F.filter(F.col("_g.ops"), lambda op: op["tag"] != "equal")
+    size = lambda op: F.greatest(align.op_size(op), F.lit(1)).cast("double")
+    same = lambda op: align.aligned_tokens(F.col("_c"), op["i1"], op["i2"]) == F.slice("_g.output", op["j1"] + 1, op["j2"] - op["j1"])
+    eap = F.when(F.size(gold) == 0, F.lit(1.0)).otherwise(total(F.filter(gold, same), size) / total(gold, size))
+    score = F.when(all_ > 0, done / all_).otherwise(F.lit(1.0))
+    return made.select("case_id", "meta.field", "meta.error_class", "meta.severity", "meta.no_edit", "meta.source_doc_id", score.alias("score"), all_.alias("weight"), eap.alias("eap"), align.changed_tokens(F.col("_c")).alias("changed"), F.size("_c.source").alias("source_tokens"))
+
+
+def preservation(cases: DataFrame, candidates: DataFrame, names: list[str] = ()) -> DataFrame:
+    """case_id, dice (mean over the kinds of invariants that either side has; 1 without any), strict (all multisets equal),
+    protected_names (each name as often in the candidate as in the input)."""
+    pairs = cases.select("case_id", F.col("input").alias("original")).join(candidates.select("case_id", F.col("text").alias("corrected")), "case_id")
+    kinds = dice(multiset_diff(pairs, "case_id"), "case_id", "kind").groupBy("case_id").agg(F.avg("dice").alias("dice"), F.bool_and("strict").alias("strict"))
+    kept = F.lit(True)
+    for n in names:
+        kept = kept & (T.occurrences(F.col("original"), F.lit(n)) == T.occurrences(F.col("corrected"), F.lit(n)))
+    return pairs.select("case_id", kept.alias("protected_names")).join(kinds, "case_id", "left").select("case_id", F.coalesce("dice", F.lit(1.0)).alias("dice"), F.coalesce("strict", F.lit(True)).alias("strict"), "protected_names")
 
 
 def report(scored: DataFrame) -> DataFrame:

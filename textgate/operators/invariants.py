@@ -9,14 +9,19 @@ from pyspark.sql import functions as F
 from ..functions import align
 from ..functions import fixed as X
 from ..functions import text as T
-from .sections import body_text
+from .sections import bodies
 
+#: What is extracted from texts without citations and DOIs: these are taken out once for all three.
+FROM_BODY = {"number": T.numbers_in, "quantity": T.quantities_in, "formula": T.formulas_in}
 EXTRACTORS = {"number": T.numbers, "quantity": T.quantities, "citation": T.citations, "formula": T.formulas, "doi": T.dois, "equation": T.equations}
 
 
 def extracted(text: Column, kinds: tuple[str, ...], terms: Column | None = None) -> Column:
     tagged = lambda kind: lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token"))
-    parts = [F.transform(EXTRACTORS[k](text), tagged(k)) for k in kinds]
+    stripped = [k for k in kinds if k in FROM_BODY]
+    parts = [F.transform(EXTRACTORS[k](text), tagged(k)) for k in kinds if k not in FROM_BODY]
+    if stripped:
+        parts.append(T.let(T.body_without(text), lambda body: F.concat(*[F.transform(FROM_BODY[k](body), tagged(k)) for k in stripped])))
     if terms is not None:
         parts.append(F.transform(F.filter(F.array_distinct(terms), lambda t: F.contains(text, t)), tagged("term")))
     return F.concat(*parts)
@@ -74,7 +79,7 @@ def level_limits(level: Column) -> tuple[Column, Column]:
 
 
 def change_rates(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
-    body = pairs.select(key, body_text(F.col("original")).alias("o"), body_text(F.col("corrected")).alias("c"))
+    body = bodies(pairs, key, o="original", c="corrected")
     return body.select(key, align.change_rate("o", "c").alias("change_rate"))
 
 

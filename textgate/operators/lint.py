@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import fixed as X
 from ..functions import text as T
 from .mining import variant_counts
-from .sections import body_text
+from .sections import bodies
 
 
 def _bodies(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    return docs.select(key, body_text(F.col(text)).alias("text"))
+    return bodies(docs, key, text=text)
 
 
 def notation_issues(docs: DataFrame, key: str = "doc_id", families=X.VARIANT_FAMILIES) -> DataFrame:
@@ -25,20 +25,26 @@ def undefined_acronyms(docs: DataFrame, known: DataFrame | None = None, key: str
     """key, acronym, cnt: acronyms that the text neither defines nor may assume. known: (key, acronym) of a saved state."""
     t = F.col("text")
     plain = F.regexp_replace(F.regexp_replace(t, X.CITATION_BRACKET, " "), X.CITATION_AUTHOR, " ")
-    defined = F.transform(T.definitions(plain), lambda d: d["acronym"])
-    skipped = F.array(*[F.lit(x) for x in (*X.ACRONYMS_KNOWN, *X.ACRONYMS_SKIPPED)])
-    bodies = _bodies(docs, key)
-    rows = bodies.select(key, F.explode(F.filter(T.acronyms(plain), lambda a: ~F.array_contains(F.concat(defined, skipped), a))).alias("acronym"))
-    counted = rows.groupBy(key, "acronym").agg(F.count("*").alias("cnt"))
+    # Definitions are sought in the text as it is: a citation between expansion and acronym makes no definition.
+    defined = F.array_distinct(F.transform(T.definitions(t), lambda d: d["acronym"]))
+    used = F.filter(T.acronyms(plain), lambda a: ~a.isin(*X.ACRONYMS_KNOWN, *X.ACRONYMS_SKIPPED))
+    open_ = T.let(defined, lambda known: F.filter(used, lambda a: ~F.array_contains(known, a)))
+    counted = _bodies(docs, key).select(key, F.explode(open_).alias("acronym")).groupBy(key, "acronym").agg(F.count("*").alias("cnt"))
     return counted.join(known, [key, "acronym"], "left_anti") if known is not None else counted
 
 
+def tell_pattern(phrase: str) -> str:
+    """A phrase in any case at word edges; a slash stands between alternatives that a text may give one after the other."""
+    parts = [r"\Q" + p + r"\E" for p in phrase.split("/")]
+    return r"(?i)" + X.NOT_BEFORE + rf"{X.W}*\s*/?\s*".join(parts) + X.NOT_AFTER
+
+
 def style_counts(text: Column, tells: list[str], families=X.VARIANT_FAMILIES) -> dict[str, Column]:
     """The seven detectors and the number of words of a text."""
     sents = T.sentences(text)
     n = lambda c: c.cast("bigint")
     low = F.lower(T.normalize(text))
-    tell = [T.count(text, r"(?i)" + X.NOT_BEFORE + r"\Q" + t + r"\E" + X.NOT_AFTER) for t in tells]
+    tell = [T.count(text, tell_pattern(t)) for t in tells]
     mixed = [F.when(sum((F.when(T.literal_count(low, v) > 0, 1).otherwise(0) for v in f), F.lit(0)) >= 2, 1).otherwise(0) for f in families]
     add = lambda cs: sum(cs, F.lit(0).cast("bigint"))
     hedged = lambda s: sum((s.rlike(h).cast("int") for h in X.HEDGES), F.lit(0)) >= 2
@@ -57,7 +63,7 @@ def style_counts(text: Column, tells: list[str], families=X.VARIANT_FAMILIES) ->
 
 def style_rates(pairs: DataFrame, tells: list[str], key: str = "pair_id") -> DataFrame:
     """key, before and after counts of each detector, total rates per 100 words of the original, regressed."""
-    b = pairs.select(key, body_text(F.col("original")).alias("o"), body_text(F.col("corrected")).alias("c"))
+    b = bodies(pairs, key, o="original", c="corrected")
     one = {f"{k}_before": v for k, v in style_counts(F.col("o"), tells).items()} | {f"{k}_after": v for k, v in style_counts(F.col("c"), tells).items()}
     counted = b.select(key, *[v.alias(k) for k, v in one.items()])
     names = [k[:-7] for k in one if k.endswith("_before") and k != "words_before"]

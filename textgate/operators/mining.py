@@ -74,7 +74,7 @@ def section_metrics(docs: DataFrame, field: str = "source") -> DataFrame:
     """field, role, sections, avg_sentence_words, passive_per_10k over sections other than front matter and references."""
     parts = split_sections(docs, field, text="text").where(~F.col("role").isin("frontmatter", "references"))
     s = document_stats(parts, field, "role", text="body").where("words > 0")
-    rate = F.col("passives") * 10000 / F.greatest("words", F.lit(1))
+    rate = F.bround(F.col("passives") * 10000 / F.greatest("words", F.lit(1)), 1)  # a section's rate has one decimal
     return s.groupBy(field, "role").agg(F.count("*").alias("sections"), (F.sum("words") / F.greatest(F.sum("sentences"), F.lit(1))).alias("avg_sentence_words"), (F.sum(rate * F.col("words")) / F.sum("words")).alias("passive_per_10k"))
 
 

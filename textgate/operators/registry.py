@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
 from .lint import undefined_acronyms
 from .mining import variant_counts
-from .sections import body_text
+from .sections import bodies
 
 
 def definitions(docs: DataFrame, field: str = "source", key: str = "doc_id") -> DataFrame:
     """field, key, kind, pos, acronym, expansion of plausible definitions."""
     rows = docs.select(field, key, F.posexplode(T.definitions(F.coalesce("text", F.lit("")))).alias("pos", "d")).select(field, key, "pos", "d.*")
-    return rows.where(T.plausible_expansion(F.col("expansion")) & ~F.col("acronym").isin(*X.ACRONYM_STOPWORDS))
+    return rows.where(T.plausible_expansion(F.col("expansion")) & ~F.col("acronym").isin(*X.ACRONYM_STOPWORDS, *X.ELEMENTS))
+
+
+def same_expansion(a: Column, b: Column) -> Column:
+    """Whether one holds the other, in any case."""
+    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
+    return F.contains(x, y) | F.contains(y, x)
 
 
 def fold(defs: DataFrame, *keys: str, order: tuple[str, ...] = ("doc_id", "kind", "pos")) -> DataFrame:
     """keys, expansion, status, expansions_seen of (keys, order, expansion): the first expansion stands; the first later one
     that differs (neither holds the other, in any case) makes a conflict, which stays."""
-    low = lambda c: F.lower(F.trim(c))
-    listed = defs.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(*order, "expansion"))).alias("all"))
+    # One row for each wording first, so that what is listed grows with the wordings of an acronym and not with its uses.
+    wordings = defs.groupBy(*keys, F.lower(F.trim("expansion")).alias("_low")).agg(F.min(F.struct(*order, "expansion")).alias("_first"))
+    listed = wordings.groupBy(*keys).agg(F.array_sort(F.collect_list("_first")).alias("all"))
     first = F.col("all")[0]["expansion"]
-    other = F.try_element_at(F.filter("all", lambda d: ~F.contains(low(d["expansion"]), low(first)) & ~F.contains(low(first), low(d["expansion"]))), F.lit(1))["expansion"]
+    other = F.try_element_at(F.filter("all", lambda d: ~same_expansion(d["expansion"], first)), F.lit(1))["expansion"]
     return listed.select(*keys, first.alias("expansion"), F.when(other.isNull(), "verified").otherwise("conflict").alias("status"), F.array_compact(F.array(first, other)).alias("expansions_seen"))
 
 
@@ -45,10 +52,10 @@ def status_histogram(registry: DataFrame) -> DataFrame:
 
 def learn_state(docs: DataFrame, manuscript: str = "source", families=X.VARIANT_FAMILIES) -> DataFrame:
     """manuscript, abbreviations (first definition wins), terms (family -> majority spelling, of two uses or more), figures."""
-    bodies = docs.select(manuscript, "doc_id", body_text(F.col("text")).alias("text"))
-    abbr = definitions(bodies, manuscript).groupBy(manuscript, "acronym").agg(F.min_by("expansion", F.struct("doc_id", "kind", "pos")).alias("x"))
+    own = bodies(docs, manuscript, "doc_id", text="text")
+    abbr = definitions(own, manuscript).groupBy(manuscript, "acronym").agg(F.min_by("expansion", F.struct("doc_id", "kind", "pos")).alias("x"))
     abbr = abbr.groupBy(manuscript).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("acronym", "x")))).alias("abbreviations"))
-    terms = variant_counts(bodies, manuscript, families=families).groupBy(manuscript, "family").agg(F.max_by("variant", F.struct("cnt", -F.col("ord"))).alias("v"), F.sum("cnt").alias("n")).where("n >= 2")
+    terms = variant_counts(own, manuscript, families=families).groupBy(manuscript, "family").agg(F.max_by("variant", F.struct("cnt", -F.col("ord"))).alias("v"), F.sum("cnt").alias("n")).where("n >= 2")
     terms = terms.groupBy(manuscript).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("family", "v")))).alias("terms"))
-    figures = bodies.select(manuscript, F.explode(T.figure_numbers(F.col("text"))).alias("f")).groupBy(manuscript).agg(F.sort_array(F.collect_set("f")).alias("figures"))
+    figures = own.select(manuscript, F.explode(T.figure_numbers(F.col("text"))).alias("f")).groupBy(manuscript).agg(F.sort_array(F.collect_set("f")).alias("figures"))
     return docs.select(manuscript).distinct().join(abbr, manuscript, "left").join(terms, manuscript, "left").join(figures, manuscript, "left")

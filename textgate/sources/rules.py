@@ -31,9 +31,12 @@ def routing_terms(lines: DataFrame) -> DataFrame:
 
 
 def tell_phrases(lines: DataFrame, least: int = 7) -> DataFrame:
-    """file, line, phrase: quoted strings of bullets, with repeats, up to the heading of phrases that are no tells."""
-    h = headed(lines).where("value like '- %' and not coalesce(heading, '') like '%non-tell%'")
-    return h.select("file", "line", F.explode(F.regexp_extract_all("value", F.lit('"([^"]+)"'), F.lit(1))).alias("phrase")).where(F.length("phrase") >= least)
+    """file, line, phrase: quoted strings of bullets, with repeats; from the first heading of phrases that are no tells on, nothing
+    is read. Replacements (` -> `) and patterns that begin with a placeholder `X ` are no phrases."""
+    stop = F.min(F.when(F.col("value").rlike(r"^#") & F.lower("value").contains("non-tell"), F.col("line"))).over(Window.partitionBy("file"))
+    bullets = lines.withColumn("_stop", stop).where("(_stop is null or line < _stop) and trim(value) like '- %'")
+    found = bullets.select("file", "line", F.explode(F.regexp_extract_all("value", F.lit(f'"([^"]{{{least},}})"'), F.lit(1))).alias("phrase"))
+    return found.where(~F.contains("phrase", F.lit(" -> ")) & ~F.startswith("phrase", F.lit("X ")))
 
 
 def first_svg(html: DataFrame, column: str = "html") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import registry
+
 
 def arrivals(spark: SparkSession, path: str, schema: T.StructType, sink: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d) -> StreamingQuery:
     """Process what is new in a Parquet folder since the last run and append it to sink; removed or rewritten files still
@@ -18,21 +20,23 @@ def arrivals(spark: SparkSession, path: str, schema: T.StructType, sink: str, ch
 
 
 def fold_definitions(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Upsert (acronym, field, expansion) into a registry table batch by batch: the first expansion stands, a differing one
-    makes a lasting conflict. Order is that of arrival; operators.registry.fold is the truth for whole tables."""
+    """Upsert (acronym, field, expansion, and doc_id, kind, pos for their order) into a registry table batch by batch, as
+    registry.fold does for whole tables: the first expansion stands, the first that differs makes a lasting conflict. Order is that
+    of batches, then that of the columns. Each batch writes a version; a version that can't be read is an error."""
 
     def upsert(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         keys = ["acronym", "field"]
-        new = batch.groupBy(*keys).agg(F.min("expansion").alias("expansion"), (F.count_distinct("expansion") > 1).alias("conflict"))
-        try:
-            old = spark.read.parquet(f"{sink}/v{n - 1}")
-        except Exception:  # noqa: BLE001  no version yet
-            old = spark.createDataFrame([], "acronym string, field string, expansion string, conflict boolean")
-        o, b = old.alias("o"), new.alias("b")
+        new = registry.fold(batch, *keys).withColumnRenamed("expansions_seen", "seen")
+        if n == 0:
+            new.write.mode("overwrite").parquet(f"{sink}/v0")
+            return
+        o, b = spark.read.parquet(f"{sink}/v{n - 1}").alias("o"), new.alias("b")
         both = o.join(b, keys, "full_outer")
-        differs = F.coalesce(F.col("o.expansion") != F.col("b.expansion"), F.lit(False))
-        out = both.select(*keys, F.coalesce("o.expansion", "b.expansion").alias("expansion"), (F.coalesce("o.conflict", F.lit(False)) | F.coalesce("b.conflict", F.lit(False)) | differs).alias("conflict"))
-        out.write.mode("overwrite").parquet(f"{sink}/v{n}")
+        first = F.coalesce("o.expansion", "b.expansion")
+        later = F.filter(F.coalesce("b.seen", F.array().cast("array<string>")), lambda x: ~registry.same_expansion(x, first))
+        other = F.coalesce(F.try_element_at("o.seen", F.lit(2)), F.try_element_at(later, F.lit(1)))
+        status = F.when(other.isNull(), "verified").otherwise("conflict")
+        both.select(*keys, first.alias("expansion"), status.alias("status"), F.array_compact(F.array(first, other)).alias("seen")).write.mode("overwrite").parquet(f"{sink}/v{n}")
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
