@@ -154,6 +154,30 @@ def test_quality(docs, empty):
     assert quality.score(empty, model).isEmpty()
 
 
+def test_quality_gradient_against_differences():
+    """The gradient of the cumulative-link likelihood, by scores and thresholds, against finite differences; sparse() against a sum per text."""
+    r = np.random.default_rng(9)
+    s, y, t = r.normal(size=12), r.integers(0, 4, 12), np.array([-1.0, 0.2, 1.1])
+
+    def loss(s, t):
+        edge = [-np.inf, *t, np.inf]
+        cdf = lambda z: 1 / (1 + np.exp(-z))
+        return -np.mean([np.log(cdf(edge[k + 1] - x) - cdf(edge[k] - x)) for x, k in zip(s, y, strict=True)])
+
+    by_score, by_threshold = quality.gradient(s, y, t)
+    step = 1e-6
+    for got, x, f in ((by_score, s, lambda v: loss(v, t)), (by_threshold, t, lambda v: loss(s, v))):
+        for i in range(len(x)):
+            d = np.eye(len(x))[i] * step
+            assert abs((f(x + d) - f(x - d)) / (2 * step) - got[i]) < 1e-6
+    texts = [prose(30, i) + " zz zz" for i in range(130)] + ["", "a"]
+    at, value, bounds = quality.sparse(texts)
+    model = quality.OrdinalModel(r.normal(size=quality.N_WEIGHTS).astype(np.float32), t)
+    column = quality.pa.array(texts, quality.pa.string())
+    want = model.scores(*quality.text_buffer(column))
+    assert np.allclose([(model.weights[at[a:b]] * value[a:b]).sum() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], want, atol=1e-3)
+
+
 def test_fingerprint(docs, empty):
     got = fingerprint.with_edits(docs).collect()
     order = sorted([(i, t or "") for i, t in enumerate(TEXTS)] + [(0, BASE)])
