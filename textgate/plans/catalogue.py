@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed as X
 from ..functions import text as T
 from ..operators import attribution, benchmark, generate, history, invariants, journal, lint, mining, registry, routing, sections
+from ..sources import rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,34 +75,24 @@ def sentence_counts(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(T.sentences(F.col("text"), 3)).cast("bigint").alias("sentences"))
 
 
-_PASSIVE = r"len(regexp_extract_all(regexp_replace(lower(text), '\s+', '  ', 'g'), '(?:^|[^\p{L}\p{N}_])(?:is|are|was|were|be|been|being)\s+(?:[\p{L}\p{N}_]+ly\s+)?[\p{L}\p{N}_]+(?:ed|en)(?:$|[^\p{L}\p{N}_])'))"
+# DuckDB's patterns look neither back nor ahead: a boundary takes a character. Where texts have each character that is no word
+# character twice, one is left for the next match.
+_DOUBLED = r"regexp_replace(lower({}), '([^\p{{L}}\p{{N}}_])', '\1\1', 'g')"
+_PASSIVE = rf"len(regexp_extract_all({_DOUBLED.format('text')}, '(?:^|[^\p{{L}}\p{{N}}_])(?:is|are|was|were|be|been|being)\s+(?:[\p{{L}}\p{{N}}_]+ly\s+)?[\p{{L}}\p{{N}}_]+(?:ed|en)(?:$|[^\p{{L}}\p{{N}}_])'))"
 
 
 @query(f"""with s as (select source, len(regexp_extract_all(text, '[A-Za-z][A-Za-z-]{{1,}}')) as w, len(list_filter({_SENT}, lambda s: len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')) >= 3)) as n,
-len(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x = 'we')) as we from documents)
-select source, sum(w)::bigint as words, sum(n)::bigint as sentences, sum(w) / greatest(sum(n), 1) as avg_sentence_words, sum(we) * 10000 / greatest(sum(w), 1) as we_per_10k from s group by source""")
+{_PASSIVE} as p, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x = 'we')) as we from documents)
+select source, sum(w)::bigint as words, sum(n)::bigint as sentences, sum(w) / greatest(sum(n), 1) as avg_sentence_words, sum(p) * 10000 / greatest(sum(w), 1) as passive_per_10k, sum(we) * 10000 / greatest(sum(w), 1) as we_per_10k from s group by source""")
 def field_stats(spark, sf_dir):
-    return mining.field_stats(docs(spark, sf_dir)).drop("passive_per_10k")
+    return mining.field_stats(docs(spark, sf_dir))
 
 
-@query(f"select doc_id, {_PASSIVE}::bigint as passives from documents where lang = 'en' and regexp_full_match(text, '[\\x00-\\x7f]*')")
+@query(f"select doc_id, {_PASSIVE}::bigint as passives from documents")
 def passive_counts(spark, sf_dir):
-    d = docs(spark, sf_dir).where(F.col("lang") == "en").where(F.col("text").rlike(r"^\p{ASCII}*$"))
-    return d.select("doc_id", T.count(F.col("text"), X.PASSIVE).alias("passives"))
-
-
-@query()
-def passive_counts_all(spark, sf_dir):
-    """passive_counts over every document, of whatever language and letters; SQL follows on ASCII texts only."""
     return docs(spark, sf_dir).select("doc_id", T.count(F.col("text"), X.PASSIVE).alias("passives"))
 
 
-@query()
-def field_stats_all(spark, sf_dir):
-    """field_stats with passive_per_10k."""
-    return mining.field_stats(docs(spark, sf_dir))
-
-
 _TOKENS = "t as (select source, doc_id, i - 1 as pos, w[i] as word, lower(w[i]) as term from (select source, doc_id, w, unnest(generate_series(1, len(w))) as i from (select *, regexp_extract_all(text, '[A-Za-z][A-Za-z-]{1,}') as w from documents)))"
 _STOPS = ", ".join(f"'{s}'" for s in STOP)
 
@@ -120,47 +111,51 @@ def phrase_bank(spark, sf_dir):
 
 
 def _variant_sql(v: str) -> str:
-    pattern = r"(^|[^\p{L}\p{N}_])" + v.replace(" ", "  ") + r"($|[^\p{L}\p{N}_])"
-    return f"len(regexp_extract_all(replace(lower(text), ' ', '  '), '{pattern}'))"
+    doubled = "".join(c if c.isalnum() or c == "_" else c * 2 for c in v)
+    return rf"len(regexp_extract_all(t, '(?:^|[^\p{{L}}\p{{N}}_]){doubled}(?:$|[^\p{{L}}\p{{N}}_])'))"
 
 
-_VARIANTS = " union all ".join(f"select doc_id, source, '{f[0]}' as family, {i} as ord, '{v}' as variant, {_variant_sql(v)} as cnt from documents where regexp_full_match(text, '[\\x00-\\x7f]*')" for f in FAMILIES for i, v in enumerate(f))
+# SQL has NFC only. The supplied texts hold no compatibility characters; a test holds the operators against NFKC on texts that do.
+_VARIANTS = f"with d as (select doc_id, source, {_DOUBLED.format('nfc_normalize(text)')} as t from documents), v as (" + " union all ".join(f"select doc_id, source, '{f[0]}' as family, {i} as ord, '{v}' as variant, {_variant_sql(v)} as cnt from d" for f in FAMILIES for i, v in enumerate(f)) + ")"
 
 
-def ascii_docs(spark, sf_dir):
-    return docs(spark, sf_dir).where(F.col("text").rlike(r"^\p{ASCII}*$"))
-
-
-@query(f"select source, family, variant, sum(cnt)::bigint as cnt from ({_VARIANTS}) where cnt > 0 group by all")
+@query(f"{_VARIANTS} select source, family, variant, sum(cnt)::bigint as cnt from v where cnt > 0 group by all")
 def notation_watch(spark, sf_dir):
-    return mining.notation_watch(ascii_docs(spark, sf_dir), families=FAMILIES)
+    return mining.notation_watch(docs(spark, sf_dir), families=FAMILIES)
 
 
-@query(f"select doc_id, family, count(*) as variants, max_by(variant, row(cnt, -ord)) as majority from ({_VARIANTS}) where cnt > 0 group by all having count(*) >= 2")
+@query(f"{_VARIANTS} select doc_id, family, count(*) as variants, max_by(variant, row(cnt, -ord)) as majority from v where cnt > 0 group by all having count(*) >= 2")
 def inconsistent_families(spark, sf_dir):
-    return lint.notation_issues(ascii_docs(spark, sf_dir), families=FAMILIES)
+    return lint.notation_issues(docs(spark, sf_dir), families=FAMILIES)
 
 
-@query()
-def notation_watch_all(spark, sf_dir):
-    """notation_watch over every document; SQL has no NFKC, so that one is held against it on ASCII texts only."""
-    return mining.notation_watch(docs(spark, sf_dir), families=FAMILIES)
+def _role_sql() -> str:
+    roles = " ".join(f"when low in ({', '.join(repr(w) for w in words)}) then '{name}'" for name, words in X.SECTION_ROLES.items())
+    return f"case when (contains(low, 'result') or contains(low, 'finding')) and contains(low, 'discussion') then 'merged: results+discussion' {roles} end"
 
 
-@query()
-def inconsistent_families_all(spark, sf_dir):
-    """inconsistent_families over every document."""
-    return lint.notation_issues(docs(spark, sf_dir), families=FAMILIES)
+# All sections of the documents as `parts`: lines, headings with a role among them, and a group from each heading to the next.
+_SECTIONS = rf"""lists as (select doc_id, source, coalesce(text, '') as text, regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') as a from documents),
+rows_ as (select doc_id, source, i, a[i] as line, regexp_extract(a[i], '{X.HEADING}', 1) as name from (select *, unnest(generate_series(1, case when a[-1] = '' then len(a) - 1 else len(a) end)) as i from lists)),
+roles as (select *, {_role_sql()} as role from (select *, lower(trim(name)) as low from rows_)),
+placed as (select *, count(role) over (partition by doc_id order by i) as g, count(role) over (partition by doc_id) as heads from roles),
+found as (select doc_id, source, g, coalesce(max(trim(name)) filter (role is not null), 'frontmatter') as name, coalesce(max(role), 'frontmatter') as role, min(i)::int as start_line, trim(coalesce(string_agg(line, chr(10) order by i) filter (role is null), '')) as body from placed where heads > 0 group by doc_id, source, g),
+parts as (select doc_id, source, (row_number() over (partition by doc_id order by g) - 1)::int as ord, name, role, start_line, body from found where g > 0 or body <> ''
+union all select doc_id, source, 0, 'body', 'body', 1, text from lists where doc_id not in (select doc_id from found))"""
 
 
-@query()
+@query(f"with {_SECTIONS} select doc_id, ord, name, role, start_line, body from parts")
 def section_split(spark, sf_dir):
     return sections.split_sections(docs(spark, sf_dir), "doc_id")
 
 
-@query()
+_SECTION_STATS = rf"""s as (select source, role, len(regexp_extract_all(text, '[A-Za-z][A-Za-z-]{{1,}}')) as w, len(list_filter({_SENT}, lambda s: len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) >= 3)) as n, {_PASSIVE} as p
+from (select source, role, body as text from parts where role not in ('frontmatter', 'references')))"""
+
+
+@query(f"with {_SECTIONS}, {_SECTION_STATS} select source, role, count(*) as sections, sum(w) / greatest(sum(n), 1) as avg_sentence_words, round(sum(round_even(p * 10000 / w, 1) * w) / sum(w), 6) as passive_per_10k from s where w > 0 group by all")
 def section_metrics(spark, sf_dir):
-    return mining.section_metrics(docs(spark, sf_dir))
+    return mining.section_metrics(docs(spark, sf_dir)).withColumn("passive_per_10k", F.round("passive_per_10k", 6))
 
 
 def _term_sql() -> str:
@@ -191,13 +186,14 @@ def corpus_manifest_diff(spark, sf_dir):
     return history.manifest_diff(manifest(d).where("doc_id % 5 <> 0"), _saved(d), facts=("size", "sha1"))
 
 
-_LICENCE = "regexp_extract(text, '(?:under the|under) ([A-Z][A-Za-z]+)(?: License| Licence)', 1)"
+_LICENCE = r"regexp_extract_all(regexp_replace(text, '\bCC (BY[A-Z-]*) (\d\.\d)', 'https://creativecommons.org/licenses/\1/\2', 'g'), '(?i)creativecommons\.org/licenses/(by[a-z-]*/\d\.\d)', 1)[1]"
 
 
-@query(f"select nullif({_LICENCE}, '') as licence, count(*) as papers from documents group by 1")
+@query(f"select 'CC ' || upper(replace({_LICENCE}, '/', ' ')) as licence, count(*) as papers from documents group by 1")
 def licence_families(spark, sf_dir):
-    name = F.regexp_extract("text", r"(?:under the|under) ([A-Z][A-Za-z]+)(?: License| Licence)", 1)
-    return docs(spark, sf_dir).groupBy(F.nullif(name, F.lit("")).alias("licence")).agg(F.count("*").alias("papers"))
+    """The supplied texts give licences by short names; here they become links, as the operator reads them."""
+    linked = F.regexp_replace("text", r"\bCC (BY[A-Z-]*) (\d\.\d)", "https://creativecommons.org/licenses/$1/$2")
+    return docs(spark, sf_dir).groupBy(T.licence(linked).alias("licence")).agg(F.count("*").alias("papers"))
 
 
 @query("select source, count(*) as papers from documents where doc_id in (select doc_id from labels where quality = 1) group by source")
@@ -266,12 +262,39 @@ def level_gate(spark, sf_dir):
     return invariants.verify_pairs(pairs(spark, sf_dir), level="low")
 
 
-@query()
+_REVERSE = r"(?:^|[^\p{L}\p{N}_])([A-Z][A-Za-z0-9]{1,9}) \(([a-z][A-Za-z -]{2,60})\)"
+
+
+def _in(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+# A document's own text and its acronyms: runs of word characters with a percent sign that no letter or digit follows.
+_OWN = rf"""{_SECTIONS}, own as (select doc_id, any_value(source) as source, trim(coalesce(string_agg(body, chr(10) || chr(10) order by ord) filter (role <> 'references'), '')) as text from parts group by doc_id),
+runs as (select doc_id, source, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text, '{X.CITATION_BRACKET}', ' ', 'g'), '{X.CITATION_AUTHOR.replace("'", "''")}', ' ', 'g'), '%([A-Za-z0-9])', ' \1', 'g'), '[\p{{L}}\p{{N}}_]+%?')) as run from own),
+known as (select distinct doc_id, unnest(list_concat(regexp_extract_all(text, '{X.DEFINED_FORWARD}', 2), regexp_extract_all(replace(text, ')', '))'), '{_REVERSE}', 1))) as acronym from own),
+used as (select doc_id, source, regexp_extract(run, '^([A-Z][A-Za-z0-9]{{1,9}}%?)(?:$|[^A-Za-z0-9])', 1) as acronym, count(*) as cnt from runs group by all),
+undefined as (select * from used anti join known using (doc_id, acronym) where acronym <> '' and not regexp_matches(acronym, '[a-z]') and acronym not in ({_in(X.ACRONYMS_KNOWN + X.ACRONYMS_SKIPPED)}))"""
+
+
+@query(f"with {_OWN} select doc_id, acronym, cnt from undefined")
 def undefined_acronyms(spark, sf_dir):
     return lint.undefined_acronyms(docs(spark, sf_dir))
 
 
-@query()
+# Definitions with their places, the first of each wording, and for each acronym the first and the first that differs from it.
+_DEFS = rf"""raw as (select source, doc_id, text, regexp_extract_all(text, '{X.DEFINED_FORWARD}', 1) as fe, regexp_extract_all(text, '{X.DEFINED_FORWARD}', 2) as fa, replace(text, ')', '))') as r from (select source, doc_id, coalesce(text, '') as text from documents)),
+both_ as (select source, doc_id, 0 as kind, i - 1 as pos, fa[i] as acronym, list_filter(string_split(fe[i], ' '), lambda w: w <> '') as words, null as reverse from (select *, unnest(generate_series(1, len(fa))) as i from raw) union all
+select source, doc_id, 1, n + i - 1, ra[i], null, re[i] from (select *, unnest(generate_series(1, len(ra))) as i from (select source, doc_id, len(fa) as n, regexp_extract_all(r, '{_REVERSE}', 1) as ra, regexp_extract_all(r, '{_REVERSE}', 2) as re from raw))),
+defs as (select source, doc_id, kind, pos, acronym, coalesce(reverse, array_to_string(words[list_position(list_transform(words, lambda w: lower(w[1])), lower(acronym[1])):], ' '), '') as expansion from both_),
+firsts as (select source, acronym, lower(trim(expansion)) as low, min(row(doc_id, kind, pos, expansion)) as f from defs where len(expansion) >= 3 and not regexp_matches(lower(expansion), '{'|'.join(X.AFFILIATIONS)}') and acronym not in ({_in([*X.ACRONYM_STOPWORDS, *X.ELEMENTS])}) group by all),
+led as (select *, first_value(low) over w as low1, first_value(f[4]) over w as e1 from firsts window w as (partition by source, acronym order by f)),
+folded as (select source, acronym, any_value(e1) as expansion, min(f) filter (not contains(low, low1) and not contains(low1, low)) as other from led group by all)"""
+
+
+@query(f"""with {_OWN}, {_DEFS}, seen as (select source, acronym, sum(cnt) as seen from undefined where acronym not in ({_in([*X.ACRONYM_STOPWORDS, *X.ELEMENTS])}) group by all)
+select acronym, source as field, 'corpus' as provenance, case when expansion is null then 'unverified' when other is null then 'verified' else 'conflict' end as status, expansion,
+case when expansion is null then [] when other is null then [expansion] else [expansion, other[4]] end as expansions_seen, (if(expansion is null, 0, 1) + coalesce(seen, 0))::bigint as sightings from folded full join seen using (source, acronym)""")
 def abbrev_registry_fold(spark, sf_dir):
     return registry.fold_registry(docs(spark, sf_dir))
 
@@ -288,9 +311,13 @@ def style_rates_before_after(spark, sf_dir):
 
 @query()
 def journal_coverage(spark, sf_dir):
+    """A journal of one entry for each line that differs."""
     p = pairs(spark, sf_dir)
-    made = F.expr("named_struct('kind', 'changed', 'original', element_at(split(original, '\\\\n'), 1), 'corrected', element_at(split(corrected, '\\\\n'), 1), 'rule', named_struct('source', 'rules', 'id', 'r1'), 'reason', 'first line')")
-    return journal.check_journal(p, p.select("pair_id", F.lit(0).alias("ord"), made.alias("entry")))
+    line = lambda c: F.transform(F.split(c, "\n"), lambda x: x)
+    sides = F.zip_with(line("original"), line("corrected"), lambda o, c: F.struct(F.coalesce(o, F.lit("")).alias("o"), F.coalesce(c, F.lit("")).alias("c")))
+    changed = p.select("pair_id", F.posexplode(F.filter(sides, lambda x: x["o"] != x["c"])).alias("ord", "x"))
+    entry = F.struct(F.lit("changed").alias("kind"), F.col("x.o").alias("original"), F.col("x.c").alias("corrected"), F.struct(F.lit("rules").alias("source"), F.lit("r1").alias("id")).alias("rule"), F.lit("line").alias("reason"))
+    return journal.check_journal(p, changed.select("pair_id", "ord", entry.alias("entry")))
 
 
 @query("""with e as (select user_id as pair_id, (event_id % 1000)::bigint as s, (event_id % 1000 + user_id % 40)::bigint as e from events),
@@ -332,12 +359,15 @@ def term_overlap(spark, sf_dir):
     return _overlaps(spark, sf_dir)
 
 
-@query(f"""with {_TERM_LISTS}, o as (select source, len(list_intersect(a, b)) / greatest(len(a), len(b), 1) as x from l),
-n as (select source, count(*) as papers, sum(len(regexp_extract_all(text, '[A-Za-z][A-Za-z-]{{1,}}'))) as words, count(distinct lang) as sections, count(distinct substr(text, 1, 3)) as collocations from documents group by source)
+@query(f"""with {_SECTIONS}, bank as ({ORACLES["phrase_bank"]}), o as (select source, len(list_intersect(a, b)) / greatest(len(a), len(b), 1) as x from (with {_TERM_LISTS} select * from l)),
+n as (select source, count(*) as papers, sum(len(regexp_extract_all(text, '[A-Za-z][A-Za-z-]{{1,}}'))) as words, (select count(distinct role) from parts where parts.source = d.source) as sections, (select count(*) from bank where bank.source = d.source) as collocations from documents d group by source)
 select source, x * 20.0::double + least(papers / 20::double, 1.0::double) * 25.0::double + least(collocations / 20::double, 1.0::double) * 25.0::double + least(sections / 5::double, 1.0::double) * 15.0::double + least(words / 100000::double, 1.0::double) * 15.0::double as score from n join o using (source)""")
 def coverage_score(spark, sf_dir):
     d = docs(spark, sf_dir)
-    n = d.groupBy("source").agg(F.count("*").alias("papers"), F.sum(F.size(T.mining_words(F.col("text")))).alias("words"), F.count_distinct("lang").alias("sections"), F.count_distinct(F.substring("text", 1, 3)).alias("collocations"))
+    n = d.groupBy("source").agg(F.count("*").alias("papers"), F.sum(F.size(T.mining_words(F.col("text")))).alias("words"))
+    found = sections.split_sections(d, "source").groupBy("source").agg(F.count_distinct("role").alias("sections"))
+    bank = mining.phrase_bank(d, ANCHORS, STOP).groupBy("source").agg(F.count("*").alias("collocations"))
+    n = n.join(found, "source").join(bank, "source", "left").withColumn("collocations", F.coalesce("collocations", F.lit(0)))
     score = history.coverage_score(F.col("papers"), F.col("collocations"), F.col("sections"), F.col("words"), F.col("term_overlap"))
     return n.join(_overlaps(spark, sf_dir), "source").select("source", score.alias("score"))
 
@@ -379,7 +409,10 @@ def _scored(spark, sf_dir):
     first = F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit("articles").alias("class"), F.when(F.col("pair_id") % 2 == 0, "minor").otherwise("major").alias("severity"), F.array(F.slice(F.regexp_extract_all("corrected", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0)), 1, 1)).alias("accept")))
     meta = F.struct(F.col("source").alias("field"), F.lit("articles").alias("error_class"), F.lit("minor").alias("severity"), (F.col("pair_id") % 3 == 0).alias("no_edit"), F.col("lang").alias("source_doc_id"))
     cases = p.select(F.col("pair_id").cast("string").alias("case_id"), F.col("original").alias("input"), F.col("corrected").alias("gold"), first.alias("edits"), meta.alias("meta"))
-    return benchmark.scores(cases)
+    # Candidates make the edits of the first half of the lines.
+    half = lambda c, first: F.slice(F.split(c, "\n"), F.lit(1) if first else F.col("_n") + 1, F.col("_n") if first else F.size(F.split(c, "\n")))
+    halved = cases.withColumn("_n", F.floor(F.size(F.split("gold", "\n")) / 2).cast("int"))
+    return benchmark.scores(cases, halved.select("case_id", F.array_join(F.concat(half("gold", True), half("input", False)), "\n").alias("text")))
 
 
 @query()
@@ -459,4 +492,5 @@ def case_set_fingerprint(spark, sf_dir):
 
 @query("select page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) as title, regexp_extract(html, '(?is)<svg\\b[^>]*>.*?</svg>', 0) as svg from pages")
 def page_title_extract(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.regexp_extract("html", r"(?is)<svg\b[^>]*>.*?</svg>", 0).alias("svg"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "html", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
+    return rules.first_svg(pages).select("page_id", "title", "svg")
