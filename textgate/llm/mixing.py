@@ -45,7 +45,7 @@ def targets(sizes: DataFrame, share: float = SHARE, cap: int = CAP, weights: tup
     budget = F.lit(share) * F.sum("source_size").over(everything)
     level = (budget - F.coalesce(F.sum("full").over(before), F.lit(0.0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     levelled = weighed.withColumn("level", level)
-    lowest = F.min(F.when(F.col("level") <= F.col("at"), F.struct("at", "source", "level"))).over(everything)["level"]
+    lowest = F.min(F.when(F.col("level") <= F.col("at"), F.struct("at", F.col("source").isNull().alias("last"), "source", "level"))).over(everything)["level"]
     return levelled.withColumn("stop", lowest).select("source", "source_size", F.when(F.col("stop").isNull(), F.col("full")).otherwise(F.least("full", F.col("w") * F.col("stop"))).alias("target"))
 
 
