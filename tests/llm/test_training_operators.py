@@ -547,6 +547,15 @@ def test_html_sequences(spark):
     assert [len(r.parts) for r in whole] == [4, 0, 0] and [p.position for p in whole[0].parts] == [0, 1, 2, 3]
 
 
+def test_hot_references(spark, monkeypatch):
+    """A text that most documents have, others in a few, one of its own: all rows keep their number and values."""
+    texts = ["hot"] * 300 + [f"t{i % 7}" for i in range(40)] + [None, "", "own\nlines"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(7)
+    got = {x: sorted(map(tuple, media.document_media(d).collect()), key=str) for x in (monkeypatch.setattr(media, "HOT", n) or n for n in (1024, 8, 1))}
+    assert got[1024] == got[8] == got[1] and sorted(r[0] for r in got[8]) == list(range(len(texts)))
+    assert {r[3] for r in got[8] if r[0] < 300} == {hashlib.sha256(b"hot" + b" " * 189).hexdigest()}
+
+
 def brute_mix(rows):
     sized = [(d, s, len(words(t)), hashlib.md5(f"{d}#{t or ''}".encode()).hexdigest()) for d, t, s in rows]
     sources = sorted({s for _, s, _, _ in sized}, key=lambda s: (s is None, s or ""))
@@ -585,6 +594,75 @@ def test_mixing(docs, empty, spark):
     assert mixing.mix(empty).isEmpty()
 
 
+def test_mixing_against_brute_force_queue(spark):
+    """The queue itself: documents by finish time, each source twice, cut at the budget."""
+    rows = [(i, prose(int(rng.integers(0, 40)), i), (None, "a", "b", "c")[int(rng.integers(0, 4))]) for i in range(300)]
+    sized, size, target = brute_mix(rows)
+    line, served = [], dict.fromkeys(size, 0)
+    for d, s, n, k in sorted(sized, key=lambda x: x[3]):
+        served[s] += n
+        if n and target[s]:
+            line += [((served[s] + p * size[s]) / target[s], (s is None, s or ""), k, p, d, n) for p in range(2)]
+    want, used = dict.fromkeys((d for d, *_ in sized), 0), 0
+    for *_, d, n in sorted(line):
+        used += n
+        want[d] += used <= 1.5 * sum(size.values())
+    got = mixing.mix(spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], SCHEMA)).collect()
+    assert {r.doc_id: r.times for r in got} == want
+
+
+def test_targets_of_ties(spark):
+    """Sources of equal size and weight, one of them null, that stop together share nothing of what the others get."""
+    for sizes in ([(None, 10), ("a", 10), ("b", 10), ("c", 10)], [("a", 5), ("b", 1), ("c", 1), (None, 5)], [("a", 0), ("b", 0), (None, 0)], [("a", 3)]):
+        got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size bigint")).collect()}
+        names = sorted((s for s, _ in sizes), key=lambda s: (s is None, s or ""))
+        total, weight = sum(n for _, n in sizes), {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+        low, high = 0.0, 1e9
+        for _ in range(200):  # the level by bisection
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(2 * n, weight[s] * mid) for s, n in sizes) < 1.5 * total else (low, mid)
+        assert all(abs(got[s] - min(2 * n, weight[s] * high)) < 1e-6 for s, n in sizes), sizes
+
+
+def test_sql_of_near_copies_and_mixing(spark, tmp_path):
+    import duckdb
+
+    from textgate.llm import queries
+
+    base = [prose(int(n), 4000 + i) for i, n in enumerate(rng.integers(0, 60, 12))]
+    texts = [None, "", " \t", "One two", "one  TWO"] + [" ".join(w if rng.random() > 0.01 else "x" for w in base[int(rng.integers(0, 12))].split()) for _ in range(80)]
+    rows = [(i, t, "en", (None, "a", "b", "c", "d")[i % 5], 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        got, want = queries.queries()[name](spark, str(tmp_path)), con.sql(sql)
+        assert sorted(got.columns) == sorted(want.columns)
+        assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall()), name
+
+
+def test_convolution_against_brute_force():
+    """The merged look-up tables give what filters slid over one-hot bytes give."""
+    r = np.random.default_rng(2)
+    tables = [r.normal(0, 0.2, (w, 256, langid.FILTERS)).astype(np.float32) for w in langid.WIDTHS]
+    hidden = langid.FILTERS * len(langid.WIDTHS)
+    net = langid.ByteConvNet(["a", "b", "c"], tables, r.normal(size=hidden).astype(np.float32), r.normal(size=(hidden, 3)).astype(np.float32), r.normal(size=3).astype(np.float32))
+    texts = [bytes(r.integers(1, 256, int(n), dtype=np.uint8)) for n in (0, 1, 3, 255, 256, 257, 700)]
+    want = []
+    for t in texts:
+        total = np.zeros(3)
+        for at in range(0, len(t), langid.WINDOW):
+            window = t[at : at + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+            hot = np.eye(256)[list(window)]
+            pooled = [max(float((hot[p : p + w] * f[:, :, k]).sum()) for p in range(langid.WINDOW - w + 1)) for w, f in zip(langid.WIDTHS, tables, strict=True) for k in range(langid.FILTERS)]
+            logits = np.maximum(np.array(pooled) + net.shift, 0) @ net.weights + net.bias
+            e = np.exp(logits - logits.max())
+            total += e / e.sum() * len(t[at : at + langid.WINDOW])
+        want.append(total / len(t) if t else total)
+    got = net.predict(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert np.allclose(got, want, atol=1e-4)
+
+
 def test_pipeline(spark, tmp_path):
     r = np.random.default_rng(1)
     rows = [(i, prose(int(r.integers(50, 90)), 1000 + i), "en", f"s{i % 3}", 1) for i in range(60)]

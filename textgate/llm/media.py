@@ -1,8 +1,9 @@
 """Interleaved document sequences: ordered text and media references parsed from HTML, with payloads resolved by digest.
 
 read() turns each page into its sequence: text runs and media references with their digest and caption, in reading order;
-parse() gives a row per element. Payloads are rows of a media table keyed by digest; resolve() joins them to the references, so one stored payload
-serves all its uses, and position and caption stay with the reference. Samples are stored as binary portable pixmaps
+parse() gives a row per element. Payloads are rows of a media table keyed by digest; described() reads them back where they are, and resolve()
+joins what it finds to the references by digest: one stored payload serves all its uses, position and caption stay with the reference, and
+payloads don't move. Samples are stored as binary portable pixmaps
 (8-bit RGB, 64 samples wide: 192 bytes a row).
 """
 
@@ -20,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import arrow_map, slices
+from .common import arrow_map, slices, written
 
 ROW = 192
 SCHEME = "sha256:"
+#: References that are more than 1 / HOT of all are joined apart.
+HOT = 1024
 _SKIPPED = {"script", "style", "template", "noscript"}
 _INLINE = {"a", "abbr", "b", "cite", "code", "em", "font", "i", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "u"}
 
@@ -189,7 +192,7 @@ def as_pages(docs: DataFrame) -> DataFrame:
 
 
 def media_table(docs: DataFrame) -> DataFrame:
-    """ref, media: the stored payloads. A batch emits a payload once; equal ones of other batches meet in resolve()."""
+    """ref, media: the stored payloads. A batch emits a payload once; equal ones of other tasks meet in resolve()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -211,12 +214,20 @@ def media_table(docs: DataFrame) -> DataFrame:
 
 
 def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
-    """ref, media for each distinct ref that the media table has: payloads move once, references as digests only."""
-    wanted = refs.select("ref").where("ref is not null").distinct()
-    return media.join(wanted, "ref", "left_semi")
+    """refs with the columns of the media table's row of the same ref, for narrow media tables (facts or places of payloads). Refs that are null
+    or that the media table doesn't have go; of several rows of a ref one counts. refs is read three times, so it should be a written table.
+
+    A ref of more than 1 / HOT of all references would be one task's: there are fewer than HOT such refs, so their rows are broadcast.
+    """
+    one = media.groupBy("ref").agg(*[F.first(c).alias(c) for c in media.columns if c != "ref"])
+    one = written(one, "media-facts")
+    often = refs.groupBy("ref").agg(F.count("*").alias("_n")).where(F.col("_n") * HOT > refs.count()).select("ref")
+    hot = one.join(F.broadcast(often), "ref")  # fewer than HOT rows
+    rest = refs.join(F.broadcast(often), "ref", "left_anti").join(one, "ref")
+    return refs.join(F.broadcast(hot), "ref").unionByName(rest)
 
 
-def described(resolved: DataFrame) -> DataFrame:
+def described(media: DataFrame) -> DataFrame:
     """ref, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of each stored payload, read back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +241,7 @@ def described(resolved: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["ref", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return arrow_map(resolved.select("ref", "media"), run, "ref string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return arrow_map(media.select("ref", "media"), run, "ref string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 def document_media(docs: DataFrame) -> DataFrame:
@@ -244,6 +255,5 @@ def document_media(docs: DataFrame) -> DataFrame:
     pages = read(as_pages(docs).select(F.struct("doc_id", "n_bytes").alias("page"), "html"), "page")
     media = F.filter("parts", lambda p: p["kind"] == "media")
     shown = pages.select("page", F.size("parts").alias("n_parts"), F.explode(F.transform(media, lambda p: p.dropFields("text", "kind"))).alias("m")).select("page.*", "n_parts", "m.*")
-    facts = described(resolve(shown, media_table(docs)))
-    facts = facts.groupBy("ref").agg(*[F.first(c).alias(c) for c in facts.columns if c != "ref"])  # copies from several batches
-    return shown.join(facts, "ref").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_parts")
+    found = resolve(written(shown, "references"), described(media_table(docs)))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_parts")
