@@ -3,10 +3,12 @@ import re
 import unicodedata
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from textgate.functions import align
-from textgate.operators import attribution, benchmark, generate, history, invariants, journal, lint, mining, registry, render, routing, sections
+from textgate.functions import text as T
+from textgate.operators import attribution, benchmark, coverage, generate, history, invariants, journal, lint, mining, registry, render, routing, sections
 from textgate.plans import catalogue
 from textgate.sources import corpus, rules
 from textgate.streaming import incremental
@@ -345,3 +347,95 @@ def test_catalogue_on_papers_against_duckdb(spark, tmp_path):
         mine = sorted((repr([plain(r[c]) for c in cols]) for r in got.collect()))
         assert mine == sorted(repr([plain(r[want.columns.index(c)]) for c in cols]) for r in want.fetchall()), name
         assert len(mine) > 1, name
+
+
+def test_paths_and_redaction(spark):
+    import posixpath
+
+    paths = ["a/b.txt", "a/./b//c", "a/../b", "../x", "a/../../x", "/abs", "\\abs", "a\\..\\b\\c", "", ".", "..", "a/b/../../..", "..x/y", None]
+    got = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string").select("i", T.relative_path(F.col("p")).alias("r")).collect()
+    for i, r in got:
+        p = paths[i]
+        norm = posixpath.normpath(p.replace("\\", "/")) if p else None
+        assert r == (None if not p or p[0] in "/\\" or norm == ".." or norm.startswith("../") else norm), p
+    meta = {"a": "/home/x y/z.txt", "b": ["/q\"r", "s/t", 1], "/k": {"c": "/"}, "d": "see /etc"}
+    hidden = "<redacted-absolute-path>"
+    row = spark.createDataFrame([(json.dumps(meta),), (json.dumps(meta, indent=1),)], "j string").select(T.redacted(F.col("j"))).collect()
+    assert all(json.loads(r[0]) == {"a": hidden, "b": [hidden, "s/t", 1], "/k": {"c": hidden}, "d": "see /etc"} for r in row)
+
+
+def test_definition_contexts(spark):
+    texts = [p for p in PAPERS if p] + ["x" * 200 + " the finite element\nmethod (FEM) and xAB (cde) AB (cde fgh) " + "y" * 30 + " FEM (finite elements)", "(a) " * 50, "no"]
+    trimmed = lambda e, a: " ".join(e.split(" ")[next((i for i, w in enumerate(e.split(" ")) if w and w[0].lower() == a[0].lower()), len(e)) :])
+    for text, got in zip(texts, docs(spark, *texts).orderBy("doc_id").select(T.definitions(F.col("text")).alias("d"), T.definition_contexts(F.col("text")).alias("c")).collect(), strict=True):
+        want = [(m.group(2), text[max(0, m.start() - 80) : m.end()].replace("\n", " ")[-160:]) for m in re.finditer(r"([A-Za-z][A-Za-z -]{2,60}?) \(([A-Z][A-Za-z0-9]{1,9}%?)\)", text)]
+        want += [(m.group(1), text[max(0, m.start() - 80) : m.end()].replace("\n", " ")[-160:]) for m in re.finditer(r"(?<!\w)([A-Z][A-Za-z0-9]{1,9}) \(([a-z][A-Za-z -]{2,60})\)", text)]
+        assert list(zip((d.acronym for d in got.d), got.c, strict=True)) == want
+    many = docs(spark, *[f"crystal violet dye{'s' * i} (CVD) and OK" for i in range(5)], None)
+    rows = registry.contexts(many).orderBy("ord").collect()
+    assert [(r.acronym, r.ord, r.doc_id) for r in rows] == [("CVD", 1, 4), ("CVD", 2, 3), ("CVD", 3, 2)] and rows[0].context == "crystal violet dyessss (CVD)"
+    assert trimmed("of the crystal", "C") == "crystal"
+
+
+def test_section_alignment(spark):
+    p = pair(spark, "Lead\nMethods\nold\nResults\nsame\nMethods\nagain", "Results\nsame\nMethods\nfirst\nMethods\nlast\nOutlook\nnew")
+    got = [tuple(r)[2:] for r in sections.align_sections(p).orderBy("ord").collect()]
+    assert got == [("frontmatter", "frontmatter", "Lead", "", True), ("Methods", "methods", "old", "last", True), ("Results", "results", "same", "same", False), ("Methods", "methods", "again", "last", True), ("Outlook", "conclusion", "", "new", True)]
+    assert [tuple(r)[2:] for r in sections.align_sections(pair(spark, None, None)).collect()] == [("body", "body", "", "", False)]
+
+
+def test_coverage_records(spark):
+    text = "Methods\n" + "We deposited thin layers and layers were quickly measured. " * 6 + "\nResults\nIt was shown."
+    d = spark.createDataFrame([(1, "a", text), (2, "a", ""), (3, "b", None), (4, "c", " \n")], "doc_id bigint, source string, text string")
+    before = spark.createDataFrame([("a", ["layers", "gone"])], "source string, top_terms array<string>")
+    (r,) = coverage.coverage(d, before, stop=("and", "were")).collect()
+    assert (r.source, r.papers, r.sections, r.collocations) == ("a", 2, 2, 2) and r.top_terms[0] == "layers"
+    assert r.term_overlap == round(1 / len(r.top_terms), 3) and r.score == round(2 / 20 * 25 + 2 / 20 * 25 + 2 / 5 * 15 + r.words / 100000 * 15 + r.term_overlap * 20, 1)
+    assert coverage.coverage(d, stop=("and",)).first().term_overlap is None
+    assert {(x.source, x.major) for x in coverage.majors(d.groupBy("source").agg(F.count("*").alias("papers")), ["b", "z"]).collect()} == {("a", False), ("b", True), ("c", False)}
+    steps = spark.createDataFrame([(x,) for x in (0.0, 3.0, 5.0, 12.0, 26.0, 100.0, 4999.0, 0.4)], "m double").select(coverage.nice_step(F.col("m"))).collect()
+    assert [round(x[0], 9) for x in steps] == [1, 1, 1, 5, 10, 20, 1000, 0.1]
+
+
+def test_registries_and_provenance(spark):
+    reg = spark.createDataFrame([("a/./b.pdf",), ("c.pdf",)], "relative_pdf_path string")
+    assert [r[0] for r in attribution.excluded_paths(reg).collect()] == ["a/b.pdf", "c.pdf"]
+    with pytest.raises(Exception, match="escapes"):
+        attribution.excluded_paths(spark.createDataFrame([("../b",)], "relative_pdf_path string")).collect()
+    controls = spark.createDataFrame([("a/1", "a")], "rel_path string, field string")
+    manifest = spark.createDataFrame([("a/1", "a", "cc-by")], "rel_path string, field string, licence string")
+    assert attribution.with_provenance(controls, manifest).first().licence == "cc-by"
+    for wrong in (manifest.withColumn("field", F.lit("b")), manifest.limit(0)):
+        with pytest.raises(Exception, match="absent or of another field"):
+            attribution.with_provenance(controls, wrong).collect()
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    assert sorted(r.id for r in attribution.new_works(ids("a", "b", "b", None), ids("a")).collect() if r.id) == ["b"]
+    assert benchmark.taxonomy_ids(ids("a", "b")).count() == 2
+    for bad in (ids("a", "a"), ids("a", " "), ids("a", None), ids("x").limit(0)):
+        with pytest.raises(ValueError, match="each once"):
+            benchmark.taxonomy_ids(bad)
+    review = lambda *x: spark.createDataFrame([((r,),) for r in x], "meta struct<review: string>")
+    assert [benchmark.may_be_baseline(review(*x)).first()[0] for x in (("pending", "approved"), ("pending",), ())] == [True, False, False]
+
+
+def test_journal_reports(spark):
+    entry = lambda k, o: (k, o, "x", ("s", "i"), "r")
+    rows = [(1, 0, entry("changed", "later")), (1, 1, entry("changed", "first")), (1, 2, entry("kept", "none")), (1, 3, entry("odd", None))]
+    entries = spark.createDataFrame(rows, f"pair_id bigint, ord int, entry {journal.ENTRY}")
+    assert {tuple(r) for r in journal.kind_counts(entries).collect()} == {("changed", 2), ("kept", 1), ("other", 1)}
+    got = {r.ord: (r.offset, r.place) for r in journal.by_offset(pair(spark, "first and later", ""), entries).collect()}
+    assert got == {0: (10, 2), 1: (0, 1), 2: (-1, 1), 3: (-1, 1)}
+
+
+def test_golden_cases_and_candidates(spark):
+    bad = BASE.replace("2.41", "2.14")
+    triples = spark.createDataFrame([("ok", BASE, BASE.replace("in all runs", "in every run"), bad), ("slips", BASE, BASE, BASE), ("broken", BASE, bad, bad), ("missing", BASE, BASE, None)], "case_id string, input string, expected string, failure string")
+    assert {r.case_id: r.status for r in benchmark.golden(triples, []).collect()} == {"ok": "OK", "slips": "FAIL", "broken": "FAIL", "missing": "FAIL"}
+    meta = lambda **x: json.dumps({"field": "f", **x})
+    rows = [("a/b", "one two", "one three", meta(source_doc_id="/abs/p")), ("a-b", "x", "x", meta(source_doc_id="doc 7")), ("c", "x", "y", meta(log="/tmp/l")), ("d", "x", "y", "{}")]
+    entries = spark.createDataFrame(rows, "path string, original string, corrected string, meta string")
+    got = {r.name: r for r in generate.candidates(entries, spark.createDataFrame([("a-b",), ("a-b-3",), ("c-2",)], "name string")).collect()}
+    assert sorted(got) == ["a-b-2", "a-b-4", "c"]
+    assert (got["a-b-2"].source_doc_id, got["a-b-4"].source_doc_id) == ("doc 7", "a/b") and len(got["a-b-4"].edits) == 1 and got["a-b-2"].edits == []
+    assert json.loads(got["c"].meta)["log"] == "<redacted-absolute-path>" and {r.review for r in got.values()} == {"pending"}
+    assert sorted(r.name for r in generate.candidates(entries).collect()) == ["a-b", "a-b-2", "c"]

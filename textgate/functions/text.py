@@ -213,3 +213,35 @@ def nfc(text: pd.Series) -> pd.Series:
 def normalize(text: Column) -> Column:
     """NFKC (which also makes subscript digits plain); ASCII texts don't leave the JVM's value."""
     return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfkc(text))
+
+
+def relative_path(path: Column) -> Column:
+    """The path without `.`, doubled separators and what `..` undoes; null if it is empty, absolute or leaves its root."""
+    step = lambda done, p: (
+        F.when(p.isin("", "."), done)
+        .when((p == "..") & (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")) != ".."), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .otherwise(F.array_append(done, p))
+    )
+    parts = F.aggregate(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), F.array().cast("array<string>"), step)
+    fine = (path != "") & ~path.rlike(r"^[/\\]")
+    return F.when(fine, let(parts, lambda ps: F.when(F.size(ps) == 0, F.lit(".")).when(ps[0] != "..", F.array_join(ps, "/"))))
+
+
+def redacted(json: Column) -> Column:
+    """JSON text whose string values that are absolute paths are hidden; keys stay."""
+    return F.regexp_replace(json, r'(?<=[\[:,])(\s*)"/(?:[^"\\]|\\.)*"(?!\s*:)', '$1"<redacted-absolute-path>"')
+
+
+def match_starts(text: Column, pattern: str) -> Column:
+    """Where the matches of a pattern begin, from 0: a mark is put before each and the text split there."""
+    plain = F.replace(text, F.lit("\u0001"), F.lit(" "))
+    pieces = F.transform(F.split(F.regexp_replace(plain, pattern, "\u0001$0"), "\u0001"), F.length)
+    return let(pieces, lambda sizes: F.transform(F.slice(sizes, 2, F.size(sizes)), lambda _, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda n, x: n + x)))
+
+
+def definition_contexts(text: Column) -> Column:
+    """Beside each of definitions(): the definition with up to 80 characters before it, of which the last 160 count."""
+    before = lambda start: F.substring(text, F.greatest(start - 80, F.lit(0)) + 1, F.least(start, F.lit(80)))
+    last = lambda s: F.when(F.length(s) > 160, F.right(s, F.lit(160))).otherwise(s)
+    of = lambda pattern: F.zip_with(match_starts(text, pattern), find_all(text, pattern), lambda start, m: last(F.replace(F.concat(before(start), m), F.lit("\n"), F.lit(" "))))
+    return F.concat(of(X.DEFINED_FORWARD), of(X.DEFINED_REVERSE))

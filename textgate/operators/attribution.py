@@ -40,3 +40,22 @@ def blocklist(existing: DataFrame, recs: DataFrame) -> DataFrame:
     """existing with the DOIs of excluded records that it doesn't have yet, each once."""
     new = recs.where("status = 'excluded' and doi is not null").select("doi").distinct().join(existing.select("doi"), "doi", "left_anti")
     return existing.select("doi").unionByName(new)
+
+
+def excluded_paths(registry: DataFrame, path: str = "relative_pdf_path") -> DataFrame:
+    """The registry with its paths in plain form; a path that leaves the corpus raises."""
+    plain = T.relative_path(F.col(path))
+    return registry.withColumn(path, F.when(plain.isNull(), F.raise_error(F.concat(F.lit("path escapes corpus: "), F.coalesce(path, F.lit("")))).cast("string")).otherwise(plain))
+
+
+def with_provenance(controls: DataFrame, manifest: DataFrame, key: str = "rel_path", field: str = "field") -> DataFrame:
+    """controls with their manifest's columns; one that the manifest lacks or has for another field raises."""
+    known = manifest.withColumnRenamed(field, "_field")
+    both = controls.join(known, key, "left")
+    bad = F.col("_field").isNull() | (F.col("_field") != F.col(field))
+    return both.withColumn(field, F.when(bad, F.raise_error(F.concat(F.lit("source is absent or of another field: "), F.col(key).cast("string"))).cast("string")).otherwise(F.col(field))).drop("_field")
+
+
+def new_works(found: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
+    """Works that aren't known yet, each once."""
+    return found.join(known.select(key), key, "left_anti").dropDuplicates([key])

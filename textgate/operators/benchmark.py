@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import align
 from ..functions import fixed as X
 from ..functions import text as T
-from .invariants import dice, multiset_diff
+from .invariants import dice, multiset_diff, verify_pairs
+from .lint import style_rates
 
 
 def case_faults(cases: DataFrame, taxonomy: DataFrame | None = None) -> DataFrame:
@@ -149,3 +150,27 @@ def bootstrap_interval(pairs: DataFrame, replicates: int = X.BOOTSTRAP_REPLICATE
 def mde_table(frame: DataFrame, sd: float) -> DataFrame:
     """n, mde = 2.802 * sd / sqrt(n) of (n)."""
     return frame.select("n", (F.lit(2.802) * sd / F.sqrt("n")).alias("mde"))
+
+
+def taxonomy_ids(taxonomy: DataFrame) -> DataFrame:
+    """id of a taxonomy; empty, blank and repeated ids raise. A taxonomy is a short list."""
+    facts = taxonomy.agg(F.count("*").alias("n"), F.count_distinct(F.nullif(F.trim("id"), F.lit(""))).alias("ids")).first()
+    if not facts.n or facts.n != facts.ids:
+        raise ValueError("taxonomy must have ids, each once")
+    return taxonomy.select("id")
+
+
+def may_be_baseline(cases: DataFrame) -> DataFrame:
+    """allowed: whether any case is approved; without one no baseline is written."""
+    return cases.agg(F.coalesce(F.bool_or(F.col("meta.review") == "approved"), F.lit(False)).alias("allowed"))
+
+
+def golden(triples: DataFrame, tells: list[str]) -> DataFrame:
+    """case_id, passes, fails, regressed, status of (case_id, input, expected, failure): the expected text must pass the gate and not raise
+    the style rates, the failure must not pass. A missing text fails its case."""
+    pair = lambda c: triples.where(F.col("input").isNotNull() & F.col(c).isNotNull()).select(F.col("case_id").alias("pair_id"), F.col("input").alias("original"), F.col(c).alias("corrected"))
+    gate = lambda c, name: verify_pairs(pair(c)).select(F.col("pair_id").alias("case_id"), (F.col("verdict") != "FAIL").alias(name))
+    rates = style_rates(pair("expected"), tells).select(F.col("pair_id").alias("case_id"), "regressed")
+    both = triples.select("case_id").join(gate("expected", "passes"), "case_id", "left").join(gate("failure", "_slips"), "case_id", "left").join(rates, "case_id", "left")
+    out = both.select("case_id", F.coalesce("passes", F.lit(False)).alias("passes"), F.coalesce(~F.col("_slips"), F.lit(False)).alias("fails"), F.coalesce("regressed", F.lit(True)).alias("regressed"))
+    return out.withColumn("status", F.when(F.col("passes") & F.col("fails") & ~F.col("regressed"), "OK").otherwise("FAIL"))

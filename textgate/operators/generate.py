@@ -108,3 +108,25 @@ def next_sequence(existing: DataFrame, arrivals: DataFrame, day: str = "date", k
     top = existing.groupBy(day).agg(F.max("seq").alias("_top"))
     place = F.row_number().over(Window.partitionBy(day).orderBy(key))
     return arrivals.withColumn("_p", place).join(top, day, "left").withColumn("seq", F.coalesce("_top", F.lit(0)) + F.col("_p")).drop("_p", "_top")
+
+
+def candidates(entries: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """name, input, gold, edits, source_doc_id, meta, review of logged edits (path, original, corrected, meta as JSON): pending cases with
+    placeholder edits. Absolute paths in meta are hidden; a source id that is one gives way to the entry's path. Names are the path's parts; a
+    name that is taken, or that several paths give, goes on with the first free of -2, -3 and so on."""
+    base = F.replace("path", F.lit("/"), F.lit("-"))
+    given = F.get_json_object("meta", "$.source_doc_id")
+    sid = F.when((F.coalesce(given, F.lit("")) != "") & ~F.startswith(given, F.lit("/")), given).otherwise(F.col("path"))
+    rows = entries.where(F.coalesce(F.get_json_object("meta", "$.field"), F.lit("")) != "").select(base.alias("_base"), F.col("path").alias("pair_id"), "original", "corrected", sid.alias("source_doc_id"), T.redacted(F.col("meta")).alias("meta"))
+    edits = placeholder_edits(rows)
+    named = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_base").orderBy("pair_id")))
+    if taken is not None:
+        number = lambda c: F.when(F.col("name") == F.col("_base"), F.lit(1)).otherwise(F.regexp_extract("name", r"-(\d+)$", 1).try_cast("int"))
+        used = taken.select("name", F.explode(F.array_distinct(F.array("name", F.regexp_replace("name", r"-\d+$", "")))).alias("_base"))
+        used = used.groupBy("_base").agg(F.collect_set(number("name")).alias("_used"))
+        free = F.filter(F.sequence(F.lit(1), F.col("_n") + F.size("_used")), lambda i: ~F.array_contains("_used", i))
+        named = named.join(used, "_base", "left").withColumn("_n", F.when(F.col("_used").isNull(), F.col("_n")).otherwise(F.element_at(free, F.col("_n"))))
+    name = F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), F.col("_n").cast("string")))
+    full = named.withColumn("name", name).join(edits, "pair_id", "left")
+    none = F.array().cast(edits.schema["edits"].dataType)
+    return full.select("name", F.col("original").alias("input"), F.col("corrected").alias("gold"), F.coalesce("edits", none).alias("edits"), "source_doc_id", "meta", F.lit("pending").alias("review"))

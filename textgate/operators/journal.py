@@ -68,3 +68,18 @@ def merge_spans(spans: DataFrame, key: str = "pair_id") -> DataFrame:
     marked = spans.withColumn("_i", F.when(before.isNull() | (F.col("s") > before), 1).otherwise(0))
     numbered = marked.withColumn("_i", F.sum("_i").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "_i").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_i")
+
+
+def kind_counts(entries: DataFrame) -> DataFrame:
+    """kind, n: entries of each kind, other kinds together as `other`."""
+    kind = F.when(F.col("entry.kind").isin("changed", "kept"), F.col("entry.kind")).otherwise("other")
+    return entries.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def by_offset(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """entries with offset (of the original span in the input, -1 if it isn't there) and place among the pair's entries of its kind."""
+    from pyspark.sql.window import Window
+
+    both = entries.join(pairs.select("pair_id", F.col("original").alias("_input")), "pair_id")
+    placed = both.withColumn("offset", F.coalesce(F.instr("_input", F.col("entry.original")) - 1, F.lit(-1))).drop("_input")
+    return placed.withColumn("place", F.row_number().over(Window.partitionBy("pair_id", "entry.kind").orderBy("offset", "ord")))

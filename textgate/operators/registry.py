@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import fixed as X
 from ..functions import text as T
@@ -59,3 +60,13 @@ def learn_state(docs: DataFrame, manuscript: str = "source", families=X.VARIANT_
     terms = terms.groupBy(manuscript).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("family", "v")))).alias("terms"))
     figures = own.select(manuscript, F.explode(T.figure_numbers(F.col("text"))).alias("f")).groupBy(manuscript).agg(F.sort_array(F.collect_set("f")).alias("figures"))
     return docs.select(manuscript).distinct().join(abbr, manuscript, "left").join(terms, manuscript, "left").join(figures, manuscript, "left")
+
+
+def contexts(docs: DataFrame, field: str = "source", key: str = "doc_id", most: int = 3) -> DataFrame:
+    """field, acronym, ord, context, key: the last contexts in which plausible definitions of an acronym stand."""
+    t = F.coalesce("text", F.lit(""))
+    both = F.zip_with(T.definitions(t), T.definition_contexts(t), lambda d, c: F.struct(d["acronym"].alias("acronym"), d["expansion"].alias("expansion"), F.trim(c).alias("context")))
+    rows = docs.where(t.rlike(r"\([A-Za-z]")).select(field, key, F.posexplode(both).alias("pos", "d")).select(field, key, "pos", "d.*")
+    rows = rows.where(T.plausible_expansion(F.col("expansion")) & ~F.col("acronym").isin(*X.ACRONYM_STOPWORDS, *X.ELEMENTS))
+    place = F.row_number().over(Window.partitionBy(field, "acronym").orderBy(F.desc(key), F.desc("pos")))
+    return rows.withColumn("_p", place).where(F.col("_p") <= most).select(field, "acronym", F.col("_p").alias("ord"), "context", key)

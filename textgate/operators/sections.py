@@ -46,3 +46,15 @@ def bodies(docs: DataFrame, *keys: str, **texts: str) -> DataFrame:
     what reads it: it runs once a row, and Arrow UDFs get plain columns."""
     rows = docs.select(*keys, F.explode(F.array(F.struct(*[body_text(F.col(c)).alias(n) for n, c in texts.items()]))).alias("_bodies"))
     return rows.select(*keys, "_bodies.*")
+
+
+def align_sections(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
+    """key, ord, name, role, original, corrected, changed: each section of the original beside the last of its name in the corrected text
+    (empty if there is none), then the sections whose name only that text has. Both texts are arrays of their row: no shuffle."""
+    split = pairs.select(key, F.explode(F.array(F.struct(split_column(F.coalesce("original", F.lit(""))).alias("o"), split_column(F.coalesce("corrected", F.lit(""))).alias("c")))).alias("s")).select(key, "s.*")
+    row = lambda s, o, c: F.struct(s["name"].alias("name"), s["role"].alias("role"), o.alias("original"), c.alias("corrected"))
+    other = lambda s: F.coalesce(F.try_element_at(F.filter("c", lambda x: x["name"] == s["name"]), F.lit(-1))["body"], F.lit(""))
+    both = F.transform("o", lambda s: row(s, s["body"], other(s)))
+    new = F.transform(F.filter("c", lambda x: ~F.exists("o", lambda s: s["name"] == x["name"])), lambda x: row(x, F.lit(""), x["body"]))
+    rows = split.select(key, F.posexplode(F.concat(both, new)).alias("ord", "r")).select(key, "ord", "r.*")
+    return rows.withColumn("changed", F.col("original") != F.col("corrected"))

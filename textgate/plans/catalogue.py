@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed as X
 from ..functions import text as T
-from ..operators import attribution, benchmark, generate, history, invariants, journal, lint, mining, registry, routing, sections
+from ..operators import attribution, benchmark, coverage, generate, history, invariants, journal, lint, mining, registry, routing, sections
 from ..sources import rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -346,12 +346,15 @@ def history_dedupe(spark, sf_dir):
 _TERM_LISTS = f"{_TOKENS}, c as (select source, (doc_id // 20) % 2 as half, term, count(*) as cnt from t where len(term) >= 3 group by all), k as (select source, half, term from (select *, row_number() over (partition by source, half order by cnt desc, term) as r from c) where r <= 30), l as (select source, list(term) filter (half = 0) as a, list(term) filter (half = 1) as b from k group by source)"
 
 
-def _overlaps(spark, sf_dir):
+def _term_lists(spark, sf_dir):
     t = mining.tokens(docs(spark, sf_dir)).where("length(term) >= 3").groupBy("source", F.expr("doc_id div 20 % 2").alias("half"), "term").agg(F.count("*").alias("cnt"))
     k = t.withColumn("r", F.row_number().over(Window.partitionBy("source", "half").orderBy(F.desc("cnt"), "term"))).where("r <= 30")
     one = lambda h: F.collect_list(F.when(F.col("half") == h, F.col("term")))
-    l = k.groupBy("source").agg(one(0).alias("a"), one(1).alias("b"))  # noqa: E741
-    return l.select("source", history.term_overlap(F.col("b"), F.col("a")).alias("term_overlap"))
+    return k.groupBy("source").agg(one(0).alias("a"), one(1).alias("b"))
+
+
+def _overlaps(spark, sf_dir):
+    return _term_lists(spark, sf_dir).select("source", history.term_overlap(F.col("b"), F.col("a")).alias("term_overlap"))
 
 
 @query(f"with {_TERM_LISTS} select source, len(list_intersect(a, b)) / greatest(len(a), len(b), 1) as term_overlap from l")
@@ -359,17 +362,42 @@ def term_overlap(spark, sf_dir):
     return _overlaps(spark, sf_dir)
 
 
-@query(f"""with {_SECTIONS}, bank as ({ORACLES["phrase_bank"]}), o as (select source, len(list_intersect(a, b)) / greatest(len(a), len(b), 1) as x from (with {_TERM_LISTS} select * from l)),
-n as (select source, count(*) as papers, sum(len(regexp_extract_all(text, '[A-Za-z][A-Za-z-]{{1,}}'))) as words, (select count(distinct role) from parts where parts.source = d.source) as sections, (select count(*) from bank where bank.source = d.source) as collocations from documents d group by source)
-select source, x * 20.0::double + least(papers / 20::double, 1.0::double) * 25.0::double + least(collocations / 20::double, 1.0::double) * 25.0::double + least(sections / 5::double, 1.0::double) * 15.0::double + least(words / 100000::double, 1.0::double) * 15.0::double as score from n join o using (source)""")
+_BANK = ORACLES["phrase_bank"].replace("where rank <= 20", "where rank <= 1000 and cnt >= 5")
+
+
+@query(f"""with {_SECTIONS}, {_SECTION_STATS}, bank as ({_BANK}), terms as ({ORACLES["top_terms"]}), own as (select source, list(term order by rank) as top_terms from terms group by source), l as (with {_TERM_LISTS} select source, a as before from l),
+n as (select source, count(*) as papers, sum(len(regexp_extract_all(text, '[A-Za-z][A-Za-z-]{{1,}}')))::bigint as words from documents group by source having bool_or(regexp_matches(text, '\\S'))),
+p as (select source, papers, words, (select count(*) from bank b where b.source = n.source) as collocations, (select count(distinct role) from s where s.source = n.source and w > 0) as sections, round(len(list_intersect(top_terms, before)) / greatest(len(top_terms), len(before), 1), 3) as term_overlap, top_terms from n left join own using (source) left join l using (source))
+select source, papers, words, collocations, sections, term_overlap, round(term_overlap * 20.0::double + least(papers / 20::double, 1.0::double) * 25.0::double + least(collocations / 20::double, 1.0::double) * 25.0::double + least(sections / 5::double, 1.0::double) * 15.0::double + least(words / 100000::double, 1.0::double) * 15.0::double, 1) as score, top_terms from p""")
 def coverage_score(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    n = d.groupBy("source").agg(F.count("*").alias("papers"), F.sum(F.size(T.mining_words(F.col("text")))).alias("words"))
-    found = sections.split_sections(d, "source").groupBy("source").agg(F.count_distinct("role").alias("sections"))
-    bank = mining.phrase_bank(d, ANCHORS, STOP).groupBy("source").agg(F.count("*").alias("collocations"))
-    n = n.join(found, "source").join(bank, "source", "left").withColumn("collocations", F.coalesce("collocations", F.lit(0)))
-    score = history.coverage_score(F.col("papers"), F.col("collocations"), F.col("sections"), F.col("words"), F.col("term_overlap"))
-    return n.join(_overlaps(spark, sf_dir), "source").select("source", score.alias("score"))
+    """Coverage records of the fields; the first half of the documents' terms stand for those of the run before."""
+    before = _term_lists(spark, sf_dir).select("source", F.col("a").alias("top_terms"))
+    return coverage.coverage(docs(spark, sf_dir), before, ANCHORS, STOP)
+
+
+@query("select source, count(*) as papers, count(*) >= 500 as major from documents group by source")
+def major_fields(spark, sf_dir):
+    return coverage.majors(docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("papers")), least=500)
+
+
+@query("select event_type, max(ts)::date as as_of from events group by event_type")
+def as_of_dates(spark, sf_dir):
+    return coverage.as_of(_events(spark, sf_dir), "event_type", modified="ts")
+
+
+@query("select distinct doc_id as id from documents where doc_id not in (select doc_id from labels)")
+def unlabelled_works(spark, sf_dir):
+    return attribution.new_works(docs(spark, sf_dir).select(F.col("doc_id").alias("id")), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+
+
+@query()
+def section_alignment(spark, sf_dir):
+    return sections.align_sections(pairs(spark, sf_dir))
+
+
+@query()
+def definition_contexts(spark, sf_dir):
+    return registry.contexts(docs(spark, sf_dir))
 
 
 _RANKED = "r as (select source, row_number() over (order by count(*) desc, source) as rank from documents group by source)"
