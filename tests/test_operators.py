@@ -1,14 +1,16 @@
 import json
+import random
 import re
 import unicodedata
 from collections import Counter
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
 
 from textgate.functions import align
 from textgate.functions import text as T
-from textgate.operators import attribution, benchmark, coverage, generate, history, invariants, journal, lint, mining, registry, render, routing, sections
+from textgate.operators import attribution, benchmark, coverage, generate, history, invariants, journal, lint, mining, places, registry, render, routing, sections
 from textgate.plans import catalogue
 from textgate.sources import corpus, rules
 from textgate.streaming import incremental
@@ -439,3 +441,25 @@ def test_golden_cases_and_candidates(spark):
     assert (got["a-b-2"].source_doc_id, got["a-b-4"].source_doc_id) == ("doc 7", "a/b") and len(got["a-b-4"].edits) == 1 and got["a-b-2"].edits == []
     assert json.loads(got["c"].meta)["log"] == "<redacted-absolute-path>" and {r.review for r in got.values()} == {"pending"}
     assert sorted(r.name for r in generate.candidates(entries).collect()) == ["a-b", "a-b-2", "c"]
+
+
+def test_places_in_hot_groups(spark, monkeypatch):
+    """Places and running sums go on over ranges, with ties, nulls and a group that has most rows."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot"] * 8 + ["a", None]), rng.choice([None, *range(60)]), i, rng.randrange(5)) for i in range(900)]
+    frame = spark.createDataFrame(rows, "g string, k int, id int, w int").repartition(6)
+    for ranges in (1, 7, 256):
+        monkeypatch.setattr(places, "RANGES", ranges)
+        got = places.running(frame, ["g"], "k", "p", "id").collect()
+        sums = {r.id: r.s for r in places.running(frame, ["g"], "k", "s", "id", weight="w").collect()}
+        for g in ("hot", "a", None):
+            own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+            assert [r.id for r in sorted((r for r in got if r.g == g), key=lambda r: r.p)] == [r[2] for r in own]
+            assert sorted(r.p for r in got if r.g == g) == list(range(1, len(own) + 1))
+            assert [sums[r[2]] for r in own] == list(accumulate(r[3] for r in own))
+        for share in (0.0, 0.5, 0.975, 1.0):
+            ranked = {r.g: r.value for r in benchmark.nearest_rank(frame, ["g"], "k", share).collect()}
+            for g in ("hot", "a", None):
+                values = sorted(r[1] for r in rows if r[0] == g and r[1] is not None)
+                assert ranked[g] == values[int((len(values) - 1) * share)]
+    assert places.running(frame.limit(0), ["g"], "k", "p").count() == 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .places import running
 
 ALLOWED = "CC BY 4.0"
 
@@ -25,8 +26,7 @@ def records(manifest: DataFrame, licences: DataFrame, key: str = "relative_pdf_p
     named = manifest.join(licences, key, "left").withColumn("licence", F.coalesce("licence", F.lit("unknown")))
     per = named.groupBy("Subject").agg(F.count("*").alias("_n"))
     before = per.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("Subject").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    place = F.row_number().over(Window.partitionBy("Subject").orderBy("DOI", key))
-    numbered = named.withColumn("_place", place).join(before, "Subject")
+    numbered = running(named, ["Subject"], "DOI", "_place", key, keys_of=manifest).join(before, "Subject")
     rid = F.concat(F.lit("ART-"), F.lpad((F.col("_before") + F.col("_place")).cast("string"), 4, "0"))
     status = F.when(F.col("licence") == ALLOWED, "active").otherwise("excluded")
     return numbered.select(rid.alias("record_id"), F.col(key).alias("path"), "title", T.authors(F.col("authors")).alias("authors"), F.substring("publication_date", 1, 4).alias("year"), F.col("Subject").alias("subject"), F.col("DOI").alias("doi"), "licence", status.alias("status"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +15,7 @@ from ..functions import fixed as X
 from ..functions import text as T
 from .invariants import dice, multiset_diff, verify_pairs
 from .lint import style_rates
+from .places import running
 
 
 def case_faults(cases: DataFrame, taxonomy: DataFrame | None = None) -> DataFrame:
@@ -121,12 +123,14 @@ def summary(pairs: DataFrame) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    """keys, value: sorted[floor((n - 1) * share)] of each key, by rank and without gathering values."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy(*keys)
-    ranked = values.withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_r") == F.floor((F.col("_n") - 1) * share)).select(*keys, F.col(value).alias("value"))
+    """keys, value: sorted[floor((n - 1) * share)] of each key, from counts of equal values and running sums of these over ranges of
+    values: no key is one task's and no values are gathered. Null values don't count."""
+    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    upto = running(counts, keys, value, "_upto", weight="_n", keys_of=values)
+    wanted = counts.groupBy(*keys).agg(F.floor((F.sum("_n") - 1) * F.lit(share)).alias("_at"))
+    named = wanted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_at")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], (F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at")))
+    return upto.join(named, same).select(*keys, F.col(value).alias("value"))
 
 
 def bootstrap_interval(pairs: DataFrame, replicates: int = X.BOOTSTRAP_REPLICATES, seed: int = X.BOOTSTRAP_SEED) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import align
 from ..functions import text as T
+from .places import running
 
 # What each corruption swaps.
 NUMBER_SWAPS = {"is": "are", "are": "is", "was": "were", "were": "was", "has": "have", "have": "has"}
@@ -24,8 +25,9 @@ def control_passages(docs: DataFrame, registered: DataFrame | None = None, n: in
     """key, field, seq, passage: one passage of each document that isn't registered yet, the first n of each field by key."""
     left = docs if registered is None else docs.join(registered.select(key), key, "left_anti")
     got = left.select(key, field, T.passage(F.col("text")).alias("passage")).where("passage is not null")
-    seq = got.withColumn("seq", F.row_number().over(Window.partitionBy(field).orderBy(key)).cast("bigint"))
-    return seq if n is None else seq.where(F.col("seq") <= n)
+    if n is not None:  # a bounded number of each field: tasks keep their first n before the shuffle
+        return got.withColumn("seq", F.row_number().over(Window.partitionBy(field).orderBy(key)).cast("bigint")).where(F.col("seq") <= n)
+    return running(got, [field], key, "seq", keys_of=docs).select(key, field, "seq", "passage")
 
 
 def _corrupt(text: str, rule: str) -> tuple[str, str, str] | None:
@@ -70,7 +72,7 @@ def round_robin(cases: DataFrame, fields: list[str], key: str = "case_id", group
     """cases with field: fields in turn over (group, key), going on across groups. Places are per group plus offsets."""
     per = cases.groupBy(group).agg(F.count("*").alias("_n"))
     before = per.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    numbered = cases.withColumn("_p", F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1).join(before, group)
+    numbered = running(cases, [group], key, "_p").withColumn("_p", F.col("_p") - 1).join(before, group)
     names = F.array(*[F.lit(f) for f in fields])
     return numbered.withColumn("field", F.element_at(names, ((F.col("_p") + F.col("_before")) % len(fields) + 1).cast("int"))).drop("_p", "_before")
 
