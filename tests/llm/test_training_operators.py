@@ -305,6 +305,44 @@ def test_near_copies(docs, empty, spark, monkeypatch):
         assert {(x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.near_copies(d).collect()} == brute_components(rows)
 
 
+def test_phrases_of_few_documents_make_no_blocks(spark):
+    """Phrases that 6 of 400 documents each have are ordered last: otherwise, at millions of documents, each would be a star
+    of thousands of candidates, and all of these one group."""
+    r = np.random.default_rng(41)
+    phrases = [" ".join(f"p{i}w{j}" for j in range(8)) for i in range(60)]
+    held = [p for p in phrases for _ in range(6)]
+    rows = [(i, " ".join([f"d{i}x{j}" for j in range(30)] + [held[i % 360]] + [f"d{i}y{j}" for j in range(30)])) for i in r.permutation(400).tolist()]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    found = ngram_join.postings(d, ngram_join.common_shingles(ngram_join.profiles(d)))
+    assert found.count() == sum(ngram_join.prefix(len(t.split()) - 4) for _, t in rows)
+    assert found.groupBy("shingle").agg(F.count_distinct("key").alias("n")).where("n > 1").isEmpty()
+
+
+def test_order_of_shingles_is_the_same_for_all_sets():
+    r = np.random.default_rng(42)
+    last = np.unique(r.integers(0, 300, 80).astype(np.uint64))
+    place = r.permutation(len(last)).astype(np.int32)
+    rank = {int(s): (1, int(i)) for s, i in zip(last, place, strict=True)}
+    for n in (1, 5, 60, 250):
+        tokens = np.unique(r.integers(0, 300, n).astype(np.uint64))
+        for p in (1, 3, len(tokens)):
+            want = sorted(tokens.tolist(), key=lambda s: rank.get(s, (0, s)))[:p]
+            assert sorted(ngram_join.first_of(tokens, p, last, place).tolist()) == sorted(want)
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+    assert ngram_join.first_of(tokens, 3, *none).tolist() == tokens[:3].tolist()
+    shingle, count = ngram_join.often(np.arange(9, dtype=np.uint64), np.array([1, 2, 5, 1, 4, 2, 3, 1, 2]), 3)
+    assert sorted(zip(shingle.tolist(), count.tolist(), strict=True)) == [(2, 5), (4, 4), (6, 3)]
+
+
+def test_common_shingles_are_the_most_frequent(spark):
+    rows = spark.createDataFrame([([(7, 4), (-3, 2)],), ([(7, 5), (9, 3), (11, 2)],)], "common array<struct<shingle: bigint, n: bigint>>")
+    for most, want in ((10, [7, 9, -3, 11]), (3, [7, 9]), (1, [7]), (0, [])):  # equal counts are in or out together
+        last, place = ngram_join.common_shingles(rows, most)
+        assert last.tolist() == sorted(last.tolist()) and set(last.view(np.int64).tolist()) == set(want)
+        at = dict(zip(last.view(np.int64).tolist(), place.tolist(), strict=True))
+        assert sorted(at.values()) == list(range(len(want))) and (not want or at[7] == len(want) - 1)
+
+
 def test_blocks_do_not_depend_on_ranges():
     """However postings are cut in ranges and batches, sets that share a shingle are connected by blocks and stars."""
     r = np.random.default_rng(21)

@@ -3,7 +3,8 @@
 1. profiles(): each text's shingle set as size, 64-bit key (equal sets have equal keys, so copies are one member from here
    on) and bitmap. Common shingles of a batch are counted along the way.
 2. postings(): two sets of Jaccard 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each, in any fixed order of
-   shingles. The order is by hash, with common shingles last; it affects speed only. Postings are sorted in ranges by
+   shingles. The order is by hash, with common shingles last, rarer ones of these first; it affects speed only, but large
+   blocks are mostly avoided by it, at any number of documents. Postings are sorted in ranges by
    (shingle, size, set), which split a frequent shingle, and read as streams. The sets of a shingle are a block; those that one
    set alone has are dropped, equal blocks are one. A block of more than BLOCK sets, or over a range's edge, is a star of
    candidate links instead: more candidates, none lost.
@@ -33,8 +34,9 @@ from pyspark.sql.window import Window
 
 from .common import arrow_map, discard, gathered, mix, shingles, slices, text_buffer, words, written
 
-#: A shingle is common if at least this share of a batch's sets has it (and 8 sets); of these, so many are ordered last.
-COMMON_SHARE, COMMON = 1 / 1024, 1 << 18
+#: A shingle is common if several sets of a batch have it, as one of the batch's BATCH_COMMON most frequent ones; by their counts in all
+#: batches, so many are ordered last.
+BATCH_COMMON, COMMON = 1 << 16, 1 << 18
 #: Text bytes whose shingles are counted together.
 COUNT_BYTES = 16_000_000
 #: Members of a block that are compared by their bitmaps.
@@ -74,6 +76,14 @@ def prefix(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
+def often(shingle: np.ndarray, count: np.ndarray, most: int = BATCH_COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Those that several sets have, at most `most` of them: the most frequent."""
+    at = np.flatnonzero(count > 1)
+    if len(at) > most:
+        at = at[np.argpartition(count[at], -most)[-most:]]
+    return shingle[at], count[at]
+
+
 def profiles(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, key, n, bits and (in a few rows) common: pairs of a common shingle and its count in the batch."""
 
@@ -83,16 +93,15 @@ def profiles(docs: DataFrame) -> DataFrame:
                 sets = [s for part in slices(large, "text") for s in shingle_sets(part)]
                 keys = [set_key(s) for s in sets]
                 once = {k: s for k, s in zip(keys, sets, strict=True) if len(s)}
-                common: list = []
-                if once:
-                    shingle, count = np.unique(np.concatenate(list(once.values())), return_counts=True)
-                    often = count >= max(8, len(once) * COMMON_SHARE)
-                    common = [{"shingle": s, "n": c} for s, c in zip(shingle[often].view(np.int64).tolist(), count[often].tolist(), strict=True)]
+                shingle, count = np.unique(np.concatenate(list(once.values())), return_counts=True) if once else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                shingle, count = often(shingle, count)
+                pairs = pa.StructArray.from_arrays([pa.array(shingle.view(np.int64)), pa.array(count.astype(np.int64))], ["shingle", "n"])
+                common = pa.ListArray.from_arrays(pa.array([0] + [len(shingle)] * len(sets), pa.int32()), pairs)
                 bits = {k: bitmap(s) for k, s in once.items()}
                 yield pa.RecordBatch.from_arrays(
                     [
                         large.column("doc_id"), large.column("text_hash"), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bits.get(k) for k in keys], pa.binary()),
-                        pa.array([common] + [None] * (len(sets) - 1), pa.list_(pa.struct([("shingle", pa.int64()), ("n", pa.int64())]))),
+                        common,
                     ],
                     ["doc_id", "text_hash", "key", "n", "bits", "common"],
                 )
@@ -101,19 +110,41 @@ def profiles(docs: DataFrame) -> DataFrame:
     return arrow_map(rows, run, "doc_id bigint, text_hash bigint, key bigint, n bigint, bits binary, common array<struct<shingle: bigint, n: bigint>>")
 
 
-def common_shingles(profiled: DataFrame, most: int = COMMON) -> np.ndarray:
-    """The most frequent of the common shingles, ascending: at most `most`, so 2 MB."""
-    counted = profiled.select(F.explode("common").alias("c")).groupBy("c.shingle").agg(F.sum("c.n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
-
-
-def postings(docs: DataFrame, common: np.ndarray) -> DataFrame:
+def common_shingles(profiled: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent of the common shingles, ascending, and the place of each in order of frequency: at most `most`, so 3 MB."""
+    counted = written(profiled.select(F.explode("common").alias("c")).groupBy("c.shingle").agg(F.sum("c.n").alias("n")), "common")
+    held, least = 0, None  # the smallest count that few enough shingles reach, so that no task sorts them all
+    for r in sorted(counted.groupBy("n").agg(F.count("*").alias("many")).collect(), reverse=True):
+        held += r.many
+        if held > most:
+            break
+        least = r.n
+    rows = counted.where(F.col("n") >= (1 << 62 if least is None else least)).orderBy(F.desc("n"), "shingle").toArrow()
+    discard(counted)
+    shingle = rows.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(shingle)
+    return shingle[order], np.arange(len(shingle) - 1, -1, -1, dtype=np.int32)[order]
+
+
+def first_of(tokens: np.ndarray, p: int, last: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first p of a set's shingles in the global order: by hash, then the common ones (last) by their places."""
+    if not len(last) or len(tokens) <= p:
+        return tokens[:p]
+    at = np.minimum(np.searchsorted(last, tokens), len(last) - 1)
+    is_last = last[at] == tokens
+    head = tokens[~is_last][:p]
+    if len(head) == p:
+        return head
+    common = tokens[is_last]
+    return np.concatenate([head, common[np.argsort(place[at[is_last]])[: p - len(head)]]])
+
+
+def postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """shingle, key, n: the prefix of each distinct set. A task emits a set once, as far as it remembers."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen = shared.value, set()
+        (last, place), seen = shared.value, set()
         for batch in batches:
             for part in slices(batch, "text"):
                 heads, keys = [], []
@@ -122,13 +153,7 @@ def postings(docs: DataFrame, common: np.ndarray) -> DataFrame:
                         continue
                     seen.add(k)
                     p = prefix(len(s))
-                    if len(last) and len(s) > p:
-                        is_last = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                        head = s[~is_last][:p]
-                        head = np.concatenate([head, s[is_last][: p - len(head)]])
-                    else:
-                        head = s[:p]
-                    heads.append(head)
+                    heads.append(first_of(s, p, last, place))
                     keys.append((k, len(s), p))
                 if len(seen) > 1_000_000:
                     seen.clear()
