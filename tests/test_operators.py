@@ -465,6 +465,18 @@ def test_places_in_hot_groups(spark, monkeypatch):
     assert places.running(frame.limit(0), ["g"], "k", "p").count() == 0
 
 
+def test_merge_spans_without_a_beginning(spark, tmp_path):
+    """Null beginnings come last, as in the query's SQL."""
+    import duckdb
+
+    rows = [(1, 1), (None, 1), (500, 1), (None, 1), (None, 2), (7, 2), (10, 2), (3, None), (None, 3)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = [tuple(r) for r in catalogue.merge_spans(spark, str(tmp_path)).collect()]
+    db = duckdb.connect()
+    db.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(got, key=str) == sorted(db.execute(catalogue.ORACLES["merge_spans"]).fetchall(), key=str)
+
+
 def test_matcher_against_difflib(monkeypatch):
     from difflib import SequenceMatcher
     from time import perf_counter

@@ -60,10 +60,10 @@ def check_journal(pairs: DataFrame, entries: DataFrame, rules: DataFrame | None
 
 
 def merge_spans(spans: DataFrame, key: str = "pair_id") -> DataFrame:
-    """key, s, e: unions of overlapping or touching spans of (key, s, e)."""
+    """key, s, e: unions of overlapping or touching spans of (key, s, e). Spans without a beginning belong to the key's last union."""
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy(key).orderBy("s", "e")
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last("s"), F.asc_nulls_last("e"))
     before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("_i", F.when(before.isNull() | (F.col("s") > before), 1).otherwise(0))
     numbered = marked.withColumn("_i", F.sum("_i").over(w.rowsBetween(Window.unboundedPreceding, 0)))
