@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from textgate.llm import bpe, fingerprint, langid, media, mixing, ngram_join, packing, quality, sharding, suffixes
+from textgate.llm import bpe, common, fingerprint, langid, media, mixing, ngram_join, packing, quality, sharding, suffixes
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -409,6 +410,45 @@ def test_repeats(docs, empty):
     assert suffixes.repeats(empty).isEmpty()
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Spark deletes shuffle files at the driver's garbage collections, which needn't come before the disk is full."""
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(found.size()) if (n := found.apply(i).getName()).startswith("shuffle_")}
+
+    def left(before, wait):
+        until = time.time() + wait
+        while (now := files() - before) and time.time() < until:
+            time.sleep(0.1)
+        return now
+
+    a = spark.range(10_000).selectExpr("id", "id % 10 g")
+    both = a.join(a.groupBy("g").count(), "g").distinct()
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    said, before = spark.conf.get(setting, None), files()
+    whole = common.written(both, "both")
+    assert not left(before, 10)
+    assert spark.conf.get(setting, None) == said and whole.count() == 10_000 == len(whole.distinct().collect())
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        common.written(a.select(F.expr("raise_error('DIVIDE_BY_ZERO')")), "failed")
+    assert spark.conf.get(setting, None) == said
+
+
+def test_rows_of_each_group_move_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "near_copies", lambda d: d.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("doc_id").alias("label")))
+    rows = [(1, BASE, "b"), (1, BASE, "a"), (1, BASE, "a"), (None, BASE, "c"), (0, BASE, "d"), (2, None, "e"), (3, "x", "f"), (3, "y", "g")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string, _id string"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.doc_id is None, r.doc_id, r.text or "") for r in got.collect()) == sorted((d is None, d, t or "") for d, t in {r[:2] for r in rows if r[0] != 3} | {(3, "x")})
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = plan[: plan.index("Join")]
+    assert "Window" in above and "Exchange" not in above  # the join's own exchange of rows serves the window
+
+
 def test_near_copies_with_null_ids(spark):
     """A set that only rows without id hold is linked, and is a bridge between sets that aren't linked with each other."""
     w = prose(200, 8000).split()

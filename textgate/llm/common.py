@@ -6,6 +6,7 @@ no per-character Python runs. Words are runs of bytes other than 0x20 and 0x09-0
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -23,6 +24,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 500_000
 #: Bytes of an Arrow batch: the JVM and the worker each hold a few copies of one for every task.
 BATCH_BYTES = 4_000_000
+#: Spark's setting by which a query deletes its shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -58,11 +61,23 @@ def shared_dir(spark: SparkSession) -> str:
     return said.rstrip("/")
 
 
+@contextlib.contextmanager
+def no_shuffles_left(spark: SparkSession) -> Iterator[None]:
+    """Queries begun here delete their shuffle files when they end. Otherwise these stay until the driver happens to collect its garbage."""
+    said = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if said is None else spark.conf.set(CLEANUP, said)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: its lineage is cut and any executor can read it after a loss."""
+    """df as a table in the shared folder, read again: its lineage is cut and any executor can read it after a loss. Of its shuffles nothing stays."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with no_shuffles_left(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

@@ -625,7 +625,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     keep = found.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash")
     keep = keep.withColumn("_once", F.lit(True))
     free = found.where("label is null").select("doc_id", "text_hash").distinct().withColumn("_once", F.lit(False))
-    d, k = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct(*docs.columns).alias("row")).alias("d"), keep.unionByName(free).alias("k")
-    left = d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_hash") == F.col("k.text_hash"))).select("d.*", "_once")
-    place = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.xxhash64("row")))
+    # The join's keys are columns that the window has too (eqNullSafe has keys of its own), so that whole rows move once.
+    at = ["_id", "_none", "text_hash"]
+    same = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")]
+    rows = docs.select(*same, F.xxhash64("text").alias("text_hash"), F.struct(*docs.columns).alias("row"))
+    left = rows.join(keep.unionByName(free).select(*same, "text_hash", "_once"), at)
+    place = F.row_number().over(Window.partitionBy(*at).orderBy(F.xxhash64("row")))
     return left.withColumn("_place", place).where("_place = 1 or not _once").select("row.*")
