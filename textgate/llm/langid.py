@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from .common import arrow_map, slices, text_buffer
+from .common import arrow_map, give_back, slices, text_buffer
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -161,7 +161,10 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, passages: int = PASSAGES)
     # One row of each id, so that repeated ids don't add to what is collected.
     rows = kept.where(F.col("lang").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("lang", F.array_distinct(F.array(*cut)).alias("cut"))).alias("r")).orderBy("doc_id").select("r.*").collect()
     pairs = [(t, r.lang) for r in rows for t in (r.cut or []) if t and any(c.isalpha() for c in t)]
-    return train([t for t, _ in pairs], [lang for _, lang in pairs])
+    net = train([t for t, _ in pairs], [lang for _, lang in pairs])
+    del rows, pairs
+    give_back()  # the driver's memory is that of its Python too, to the end of the pipeline
+    return net
 
 
 def identify(docs: DataFrame, net: ByteConvNet, keep: list[str] | None = None) -> DataFrame:

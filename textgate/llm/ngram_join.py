@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, discard, gathered, mix, shingles, slices, text_buffer, words, written
+from .common import arrow_map, discard, gathered, give_back, mix, shingles, slices, text_buffer, words, written
 
 #: A shingle is common if several sets of a batch have it, as one of the batch's BATCH_COMMON most frequent ones; by their counts in all
 #: batches, so many are ordered last.
@@ -123,6 +123,7 @@ def common_shingles(profiled: DataFrame, most: int = COMMON) -> tuple[np.ndarray
     discard(counted)
     shingle = rows.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(shingle)
+    give_back()
     return shingle[order], np.arange(len(shingle) - 1, -1, -1, dtype=np.int32)[order]
 
 
